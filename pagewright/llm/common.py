@@ -88,3 +88,16 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 
 def nonempty_text(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+
+
+def buffered(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Join small batches until they hold about so many characters: vectorised steps then have enough rows to work on."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += int(b[column].str.len().sum())
+        if size >= chars:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)

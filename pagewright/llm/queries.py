@@ -11,6 +11,20 @@ from pagewright.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagewright.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.secrets import secret_digest
+
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
