@@ -55,7 +55,7 @@ class Features:
 class Ftrl:
     """Per coordinate: z, the shifted sum of gradients, and n, the sum of their squares. The weight follows from both."""
 
-    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)  # the last is the bias, without L1
 
@@ -72,7 +72,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(texts: list[str], labels: list[int], passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: list[int], passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight) of the weights that aren't zero; bucket BUCKETS is the bias."""
     f, model = Features(), Ftrl()
     rows = [np.append(np.unique(f.buckets(t)).astype(np.int32), np.int32(BUCKETS)) for t in texts]
