@@ -12,6 +12,12 @@ from pagewright.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.vector_dedup import vector_groups
+
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.mixing import mix
+
+    m = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+    shown = {"mix_source": "source", "mix_lang": "lang", "mix_topic": "topic", "mix_tokens": "n_tokens"}
+    return m.select("doc_id", *[F.col(a).alias(b) for a, b in shown.items()], F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,4 +72,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pagewright.llm import mixing
+
+    return {"op7_mixing": mixing.oracle()}
