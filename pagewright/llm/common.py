@@ -45,11 +45,19 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "pagewright-checkpoints"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "pagewright-checkpoints"))
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

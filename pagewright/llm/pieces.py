@@ -16,6 +16,7 @@ import pandas as pd
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewright.llm import bpe_dp
 from pagewright.llm.common import buffered, text_batches
@@ -126,23 +127,21 @@ def encode_pieces(docs: DataFrame, path: str, text_column: str = "text") -> Data
     Null texts count as empty: no ids, round_trip true. Texts that hold U+2581 come back with blanks there, as with the
     library; their round_trip is false. Columns of these names in docs are replaced; repeated rows are coded each."""
     text_batches(docs.sparkSession)
-    keep = docs.drop("piece_ids", "n_pieces", "round_trip")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema), "piece_ids array<int>, n_pieces int, round_trip boolean"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("piece_ids array<int>, n_pieces int, round_trip boolean")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for b in buffered(batches, text_column):
-            texts = [t if isinstance(t, str) else "" for t in b[text_column].tolist()]
+        for b in buffered((x.rename("text").to_frame() for x in batches)):
+            texts = [t if isinstance(t, str) else "" for t in b["text"].tolist()]
             ids = c.encode(texts)
-            yield b.assign(piece_ids=ids, n_pieces=np.array([len(x) for x in ids], dtype=np.int32), round_trip=[c.decode(x.tolist()) == t for x, t in zip(ids, texts)])
+            yield pd.DataFrame({"piece_ids": ids, "n_pieces": np.array([len(x) for x in ids], dtype=np.int32), "round_trip": [c.decode(x.tolist()) == t for x, t in zip(ids, texts)]})
 
-    return keep.mapInPandas(run, schema)
+    kept = docs.drop("piece_ids", "n_pieces", "round_trip")
+    return kept.withColumn("__pieces_coded__", coded(F.col(text_column))).select(*[F.col(f"`{c}`") for c in kept.columns], "__pieces_coded__.*")
 
 
 def decode_pieces(df: DataFrame, path: str, ids_column: str = "piece_ids", out_column: str = "text") -> DataFrame:
     """df with the text of its ids; null ids give null, an empty array the empty text."""
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)

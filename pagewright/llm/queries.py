@@ -45,6 +45,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.preferences import preference_pairs
+
+    return preference_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.mixing import mix
 

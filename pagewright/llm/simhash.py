@@ -46,13 +46,12 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(id, fp) with the fingerprint as a signed long. Null texts count as empty."""
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint(t if isinstance(t, str) else None) for t in batch], dtype=np.uint64).view(np.int64))
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_column).alias("id"), fp(F.col(text_column)).alias("fp"))
 
 
 def block_count(n: int, max_bits: int = MAX_BITS) -> int:

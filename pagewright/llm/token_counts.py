@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagewright.llm import bpe_dp
@@ -236,19 +237,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str =
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and ids are counted each. Other columns aren't read."""
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = counter(path)
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"].tolist()]
+        for batch in batches:
+            texts = [t if isinstance(t, str) else "" for t in batch]
             n = c.count(texts)
             yield pd.DataFrame({
-                "id": b["id"],
                 "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts],
                 "n_tokens": n,
                 "over_limit": [x > limit for x in n],
                 "fit_chars": [c.fit(t, limit) if x > limit else len(t) for t, x in zip(texts, n)],
             })
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    out = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInPandas(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
-    return out.withColumnRenamed("id", id_column)
+    return docs.select(id_column, counted(F.col(text_column)).alias("r")).select(id_column, "r.*")
