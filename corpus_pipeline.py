@@ -1,12 +1,64 @@
-"""The corpus pipeline: toxicity, near copies, secrets, mixing, encoding; each stage is one operator of pagewright.llm."""
+"""The corpus pipeline: toxicity, near copies, secrets, mixing, encoding; each stage is one operator of pagewright.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents. A stage's rows are written and read again before the next one begins."""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm.common import shared_folder, table
+from pagewright.llm.mixing import mix
+from pagewright.llm.pieces import encode_pieces
+from pagewright.llm.secrets import redact_secrets
+from pagewright.llm.simhash import simhash_groups
+from pagewright.llm.toxicity import THRESHOLD, fit, score_toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold. The model learns from the labels of documents that are still there."""
+    weights = fit(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs.select(*COLUMNS), weights).where(F.col("score") < THRESHOLD).drop("score")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; rows that repeat an id stay together, rows without an id stay."""
+    table_of = docs.select(*COLUMNS)
+    keep = simhash_groups(table_of).where("doc_id = component_id").select("doc_id").distinct()
+    return table_of.join(keep, "doc_id", "left_semi").unionAll(table_of.where("doc_id is null"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    return redact_secrets(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the calibrated probabilities sample."""
+    return mix(docs.select(*COLUMNS)).where("mix_sampled").select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their piece ids."""
+    return encode_pieces(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
-STAGES: list = []
+#: SQL can express neither the training of the model nor the fingerprints, components and piece codes.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
