@@ -1,9 +1,486 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, each over whole tables. plans/oracle.py has the SQL for each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import text as T
+from pagewright.lexicons import SYNTHETIC as LEX
+from pagewright.operators import answers, candidates, clean, evaluate, negatives, querygen, rank, training
+from pagewright.plans import views as V
+from pagewright.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TOTAL, LOW, HIGH = 500, 25, 90
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# Pages, lines, cleaning
+
+
+@query
+def page_keys(spark, sf):
+    p = V.pages(spark, sf)
+    return p.select(T.page_key(F.col("doc_id"), F.col("page_idx")).alias("page_id"), T.page_path("pages", F.col("doc_id"), F.col("page_idx")).alias("image_path"), "src_id")
+
+
+@query
+def nonempty_filter(spark, sf):
+    return clean.nonempty(V.clean_texts(spark, sf)).select("doc_id", "page_idx", F.col("ocr_text_clean_len").cast("long").alias("ocr_text_clean_len"))
+
+
+@query
+def line_split_stats(spark, sf):
+    return clean.line_stats(V.pages(spark, sf))
+
+
+@query
+def clean_lines(spark, sf):
+    c = clean.clean_pages(V.pages(spark, sf))
+    return longs(c.select("doc_id", "page_idx", F.md5("ocr_text_clean").alias("text_md5"), "ocr_text_len", "ocr_text_clean_len", "ocr_reduction"), "ocr_text_len", "ocr_text_clean_len", "ocr_reduction")
+
+
+@query
+def clean_summary(spark, sf):
+    return clean.clean_summary(clean.clean_pages(V.pages(spark, sf)))
+
+
+def _index(spark, sf):
+    p = V.pages(spark, sf)
+    manifest = p.select(T.page_key(F.col("doc_id"), F.col("page_idx")).alias("page_id"), "doc_id", "page_idx", F.lit("m").alias("origin"))
+    ocr = p.where("src_id % 7 <> 0").select("doc_id", "page_idx", "ocr_text", F.when(F.col("src_id") % 5 == 0, "").otherwise(F.col("ocr_text")).alias("ocr_text_clean"), F.when(F.col("src_id") % 11 == 0, "failed").otherwise("").alias("error"), F.lit("o").alias("origin"))
+    docs = p.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.lit("d").alias("origin"))
+    return clean.build_page_index(manifest, ocr, docs)
+
+
+@query
+def page_index_left_join(spark, sf):
+    return _index(spark, sf).select("page_id", "doc_id", "page_idx", "origin", "origin_ocr", "origin_doc", "page_count", "has_ocr_text", "has_clean_text", "has_ocr_error")
+
+
+@query
+def page_index_summary(spark, sf):
+    return clean.page_index_summary(_index(spark, sf))
+
+
+@query
+def ocr_json_flatten(spark, sf):
+    p = V.pages(spark, sf)
+    lines = F.split("ocr_text", "\n")
+    texts = F.to_json(F.transform(lines, lambda x: F.substring(x, 1, 20)))
+    scores = F.to_json(F.transform(F.slice(lines, 1, 3), lambda x: F.round(F.length(x) / 1000, 6)))
+    body = F.concat(F.lit('{"rec_texts":'), texts, F.lit(',"rec_scores":'), scores, F.lit(',"rec_boxes":[[1,2],[3,4]]}'))
+    wrapped = F.when(F.col("page_idx") % 2 == 0, F.concat(F.lit('{"res":'), body, F.lit("}"))).otherwise(body)
+    r = p.select("src_id", clean.flatten_ocr(wrapped).alias("r"))
+    return r.select("src_id", "r.ocr_text", F.round("r.avg_score", 6).alias("avg_score"), F.col("r.num_boxes").cast("long").alias("num_boxes"))
+
+
+@query
+def page_previews(spark, sf):
+    return V.pages(spark, sf).select("src_id", T.preview(F.col("ocr_text")).alias("preview"))
+
+
+@query
+def upper_case_search(spark, sf):
+    """Restriction of a scan to some documents, with a limit in a stated order."""
+    return S.restrict(V.pages(spark, sf), ["src_id"], 50, doc_id=["src1", "src2"]).select("src_id", "doc_id", "page_idx")
+
+
+# Candidates
+
+
+@query
+def keyword_hits(spark, sf):
+    c = V.clean_texts(spark, sf)
+    hit = T.found(F.col("ocr_text_clean"), LEX.high)
+    return c.select("src_id", F.size(hit).cast("long").alias("n_hits"), F.array_join(F.slice(hit, 1, 4), ",").alias("first_hits"), F.coalesce(T.first_found(F.col("ocr_text_clean"), LEX.semantic_keywords), F.lit("")).alias("first_semantic"))
+
+
+@query
+def number_unit_counts(spark, sf):
+    f = candidates.features(F.col("ocr_text_clean"))
+    return V.clean_texts(spark, sf).select("src_id", *[c.cast("long").alias(n) for n, c in f.items()])
+
+
+def _scored(spark, sf):
+    return candidates.score_pages(V.clean_texts(spark, sf), LEX)
+
+
+@query
+def page_score(spark, sf):
+    return _scored(spark, sf).select("src_id", "page_score", "score_reasons", "is_strong_low_value")
+
+
+@query
+def page_type(spark, sf):
+    return V.clean_texts(spark, sf).select("src_id", candidates.page_type(F.col("ocr_text_clean"), LEX).alias("page_type"))
+
+
+@query
+def doc_quotas(spark, sf):
+    return longs(candidates.allocate_quotas(clean.nonempty(V.clean_texts(spark, sf)), TOTAL, LOW, HIGH), "selected_quota")
+
+
+def _selected(spark, sf):
+    scored = _scored(spark, sf)
+    return candidates.select_candidates(scored, candidates.allocate_quotas(scored, TOTAL, LOW, HIGH), TOTAL)
+
+
+@query
+def select_candidates(spark, sf):
+    return _selected(spark, sf).select("src_id", "doc_id", "page_idx", "page_score", "page_type", F.col("selected_quota").cast("long").alias("selected_quota"))
+
+
+@query
+def refine_candidates(spark, sf):
+    return candidates.refine_candidates(_scored(spark, sf), LEX).select("src_id", "page_type", "page_score")
+
+
+@query
+def lowest_scores(spark, sf):
+    return _scored(spark, sf).orderBy("page_score", "src_id").limit(15).select("src_id", "page_score")
+
+
+# Queries from pages
+
+
+def _generated(spark, sf):
+    return querygen.generate_queries(_scored(spark, sf), LEX)
+
+
+@query
+def generate_queries(spark, sf):
+    return _generated(spark, sf).select("query_id", "doc_id", "page_idx", "page_type", "query_zh", "query_en", "query_source", "anchor_heading")
+
+
+@query
+def filter_queries_cap3(spark, sf):
+    return longs(querygen.filter_queries(_generated(spark, sf)).select("query_id", "query_source", "source_priority", "rank_in_page"), "source_priority", "rank_in_page")
+
+
+# Ranking
+
+
+def _corpus(spark, sf):
+    return V.table(spark, sf, "documents").select(F.col("doc_id").alias("src_id"), "text")
+
+
+def _lexical(spark, sf, k=5):
+    return rank.bm25_topk(_corpus(spark, sf), V.queries(spark, sf), k, ["src_id"], backfill=False)
+
+
+def _dense(spark, sf, k=5):
+    return rank.dense_topk(V.embeddings(spark, sf), V.query_vectors(spark, sf), k, ["src_id"])
+
+
+@query
+def token_stats(spark, sf):
+    tf = rank.term_counts(_corpus(spark, sf), ["src_id"], "text")
+    idf = rank.term_idf(tf, rank.corpus_stats(_corpus(spark, sf), ["src_id"], "text"))
+    return idf.select("term", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def bm25_topk(spark, sf):
+    return longs(_lexical(spark, sf).select("query_id", "rank", "src_id", "score"), "rank")
+
+
+@query
+def bm25_backfill(spark, sf):
+    """Queries of one rare word: fewer pages match than are wanted, so pages without a match fill the list."""
+    q = V.queries(spark, sf).select("query_id", F.substring_index("query_en", " ", 1).alias("query_en"))
+    return longs(rank.bm25_topk(_corpus(spark, sf), q, 10, ["src_id"]).select("query_id", "rank", "src_id", "score"), "rank")
+
+
+@query
+def bm25_all_scores(spark, sf):
+    s = rank.bm25_scores(_corpus(spark, sf), V.queries(spark, sf), ["src_id"])
+    return s.groupBy("query_id").agg(F.count("*").alias("n_pages"), F.max("score").alias("best"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+@query
+def dense_topk(spark, sf):
+    return longs(_dense(spark, sf).select("query_id", "rank", "src_id", "score"), "rank")
+
+
+def _parts(c):
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(c, i * 8 + 1, 8))
+
+
+@query
+def maxsim_topk(spark, sf):
+    p = V.embeddings(spark, sf).withColumn("embedding", _parts(F.col("embedding")))
+    q = V.query_vectors(spark, sf).withColumn("query_vector", _parts(F.col("query_vector")))
+    return longs(rank.maxsim_topk(p, q, 5, ["src_id"]).select("query_id", "rank", "src_id", "score"), "rank")
+
+
+def _two_stage(spark, sf):
+    return rank.two_stage(_lexical(spark, sf, 20), V.embeddings(spark, sf), V.query_vectors(spark, sf), ["src_id"], 5)
+
+
+@query
+def two_stage(spark, sf):
+    return longs(_two_stage(spark, sf).select("query_id", "rank", "src_id", "score", "candidate_pool_size"), "rank", "candidate_pool_size")
+
+
+@query
+def retrieval_filter(spark, sf):
+    gold = V.gold(spark, sf).select("query_id", F.col("gold_doc_id").alias("doc_id"), F.col("gold_page_idx").alias("page_idx"))
+    return querygen.retrieval_filter(gold, V.as_pages(spark, sf, _lexical(spark, sf, 20))).select("query_id", "doc_id", "page_idx")
+
+
+# Evaluation
+
+
+def _run(spark, sf, hits):
+    return V.as_pages(spark, sf, hits)
+
+
+def _details(spark, sf, hits):
+    return evaluate.evaluate(_run(spark, sf, hits), V.gold(spark, sf))
+
+
+@query
+def eval_details(spark, sf):
+    return _details(spark, sf, _lexical(spark, sf)).select("query_id", "query_type", "gold_doc_id", "gold_page_idx", "top1_doc_id", "top1_page_idx", "top1_score", *evaluate.HITS)
+
+
+@query
+def ranked_json_lists(spark, sf):
+    return _details(spark, sf, _dense(spark, sf)).select("query_id", "retrieved_doc_ids", "retrieved_page_idxs")
+
+
+@query
+def eval_summary_grouping_sets(spark, sf):
+    return evaluate.summarize(_details(spark, sf, _lexical(spark, sf)))
+
+
+@query
+def failures(spark, sf):
+    return evaluate.failures(_details(spark, sf, _dense(spark, sf))).select("query_id", "query_type", "gold_doc_id", "gold_page_idx", *evaluate.HITS)
+
+
+def _runs(spark, sf):
+    return evaluate.union_runs({"lexical": _details(spark, sf, _lexical(spark, sf)), "dense": _details(spark, sf, _dense(spark, sf)), "two_stage": _details(spark, sf, _two_stage(spark, sf))})
+
+
+@query
+def compare_runs(spark, sf):
+    return evaluate.compare_runs(_runs(spark, sf))
+
+
+@query
+def best_by_query(spark, sf):
+    return evaluate.best_by_query(_runs(spark, sf)).select("query_id", "run_name", *evaluate.HITS)
+
+
+@query
+def label_directives(spark, sf):
+    q = V.queries(spark, sf)
+    k = F.col("query_id") % 4
+    said = q.select("query_id", F.when(k == 0, F.concat(F.lit("rank="), (F.col("query_id") % 5 + 1).cast("string"))).when(k == 1, F.concat(F.lit("src"), F.col("query_id").cast("string"), F.lit(" , 12"))).when(k == 2, "skip").otherwise("garbage").alias("directive"))
+    return evaluate.apply_labels(said, _run(spark, sf, _dense(spark, sf)))
+
+
+# Negatives and pairs
+
+
+@query
+def first_wrong(spark, sf):
+    return negatives.first_wrong(_run(spark, sf, _lexical(spark, sf, 10)), V.gold(spark, sf), "bm25_hard")
+
+
+@query
+def vision_negatives(spark, sf):
+    """First wrong page by late interaction, with its score."""
+    hits = _run(spark, sf, QUERIES["maxsim_topk"](spark, sf))
+    wrong = negatives.first_wrong(hits, V.gold(spark, sf), "vision_hard")
+    s = hits.select("query_id", F.col("doc_id").alias("neg_doc_id"), F.col("page_idx").alias("neg_page_idx"), F.col("score").alias("neg_score"))
+    return wrong.join(s, ["query_id", "neg_doc_id", "neg_page_idx"])
+
+
+@query
+def adjacent_prev_else_next(spark, sf):
+    return negatives.adjacent_negatives(V.turn_gold(spark, sf).where("query_id % 3 > 0"), V.turns(spark, sf).where("not (page_idx = 0 and doc_id % 2 = 0)"))
+
+
+@query
+def adjacent_both(spark, sf):
+    return negatives.adjacent_negatives(V.turn_gold(spark, sf), V.turns(spark, sf), "both")
+
+
+@query
+def adjacent_unchecked(spark, sf):
+    return negatives.adjacent_negatives(V.turn_gold(spark, sf), mode="unchecked")
+
+
+@query
+def same_doc_far(spark, sf):
+    return negatives.far_negative(V.turn_gold(spark, sf), V.turns(spark, sf))
+
+
+def _pairs(spark, sf):
+    gold, pages = V.turn_gold(spark, sf), V.turns(spark, sf)
+    return negatives.keep_first([negatives.pairs(gold, negatives.adjacent_negatives(gold, pages)), negatives.pairs(gold, negatives.far_negative(gold, pages)), negatives.pairs(gold, negatives.adjacent_negatives(gold, pages, "both"))])
+
+
+@query
+def trainset_union_dedup_first(spark, sf):
+    return _pairs(spark, sf).select("sample_id", *negatives.PAIR_KEY, "pos_image_path", "neg_image_path", "neg_source", "query_type")
+
+
+@query
+def trainset_pattern_filter(spark, sf):
+    g = _generated(spark, sf)
+    return g.where(negatives.keeps_pair()).select("query_id", "query_source")
+
+
+@query
+def pairs_per_query(spark, sf):
+    return training.pairs_per_query(_pairs(spark, sf))
+
+
+@query
+def value_counts(spark, sf):
+    return training.value_counts(_pairs(spark, sf), "neg_source")
+
+
+@query
+def pairs_summary(spark, sf):
+    s = training.summarize_pairs(_pairs(spark, sf))
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.select("rows", "query_count", flat("query_type_counts").alias("query_types"), flat("neg_source_counts").alias("neg_sources"))
+
+
+@query
+def missing_keys_report(spark, sf):
+    """Documents without labels stand for images that are not there."""
+    d, have = V.table(spark, sf, "documents").select("doc_id", "lang"), V.table(spark, sf, "labels").select("doc_id")
+    return d.join(have, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("missing"))
+
+
+@query
+def semi_join_exists(spark, sf):
+    d, have = V.table(spark, sf, "documents").select("doc_id", "source"), V.table(spark, sf, "labels").select("doc_id")
+    return d.join(have, "doc_id", "left_semi")
+
+
+@query
+def anti_join_remaining(spark, sf):
+    picked = _selected(spark, sf).select("src_id")
+    return V.pages(spark, sf).select("src_id", "doc_id").join(picked, "src_id", "left_anti")
+
+
+@query
+def smoke_corpus_distinct(spark, sf):
+    g = V.gold(spark, sf).select(F.col("gold_doc_id").alias("doc_id"), F.col("gold_page_idx").alias("page_idx")).distinct()
+    return g.select("doc_id", "page_idx", T.page_path("pages", F.col("doc_id"), F.col("page_idx")).alias("image_path"))
+
+
+# Training
+
+
+def _labelled(spark, sf):
+    return V.table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("query_type"), "toxic")
+
+
+@query
+def balanced_weights(spark, sf):
+    return training.balanced_weights(_labelled(spark, sf)).select("query_id", "query_type", F.round("weight", 9).alias("weight"))
+
+
+@query
+def split_by_query(spark, sf):
+    return training.split_by_query(_labelled(spark, sf), 0.2, 20, 42).select("query_id", "is_val")
+
+
+def _triples(spark, sf):
+    e = V.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = F.col("vec_id")
+    at = lambda k, name: e.select((n - k).alias("i"), F.col("embedding").alias(name))
+    return at(0, "q").join(at(1, "p"), "i").join(at(2, "n"), "i")
+
+
+@query
+def hinge_loss(spark, sf):
+    return training.hinge_loss(_triples(spark, sf))
+
+
+@query
+def info_nce(spark, sf):
+    return training.info_nce(_triples(spark, sf).select(F.floor(F.col("i") / 16).alias("batch"), "i", "q", "p"))
+
+
+@query
+def pos_weighted_pool(spark, sf):
+    e = V.table(spark, sf, "embeddings").select("vec_id", training.position_pool(_parts(F.col("embedding"))).alias("v"))
+    return e.select("vec_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in range(8)])
+
+
+# Answers
+
+
+def _answers(spark, sf):
+    """Turns dressed up as raw answers of a model: tags, labels, confidence lines, repeats, bare numbers."""
+    t = V.turns(spark, sf).select((F.col("doc_id") * 100 + F.col("page_idx")).alias("query_id"), "page_idx", F.substring("text", 1, 80).alias("s"))
+    s, k, c = F.col("s"), F.col("query_id") % 6, (F.col("query_id") % 97).cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("<one concise answer> "), s, F.lit(" </one concise answer>\n<confidence>0."), c, F.lit("</confidence>")))
+        .when(k == 1, F.concat(F.lit("Answer: "), s, F.lit("\nConfidence: "), c)).when(k == 2, F.concat(s, F.lit("\n"), F.lower(s), F.lit("\nconfidence 0."), c))
+        .when(k == 3, c).when(k == 4, F.concat(F.lit("Confidence: 0."), c)).otherwise(F.concat(F.lit("It is common knowledge. "), s))
+    )
+    return t.select("query_id", raw.alias("raw"), F.when(F.col("page_idx") % 2 == 0, "What is the rated payload?").otherwise("Where is it?").alias("question"))
+
+
+@query
+def answer_extract(spark, sf):
+    return _answers(spark, sf).select("query_id", answers.extract(F.col("raw")).alias("answer"))
+
+
+@query
+def answer_quality(spark, sf):
+    return _answers(spark, sf).select("query_id", F.round(answers.quality(F.col("raw"), F.col("question")), 6).alias("quality"))
+
+
+@query
+def confidence_parse(spark, sf):
+    return _answers(spark, sf).select("query_id", F.round(T.confidence(F.col("raw")), 6).alias("confidence"))
+
+
+@query
+def blend_select(spark, sf):
+    a = _answers(spark, sf).withColumn("per_page_blend", answers.blend(T.confidence(F.col("raw")), (F.col("query_id") % 10) / 10.0, answers.quality(F.col("raw"), F.col("question"))))
+    tail = F.concat(F.col("raw"), F.lit("\nand more of it for good measure"))
+    four = a.select("query_id", "question", F.col("raw").alias("single"), tail.alias("stitched"), F.col("raw").alias("per_page"), "per_page_blend", F.lit("unknown").alias("joint"))
+    return answers.select_answer(four).select("query_id", "selected_strategy", "selection_score")
+
+
+@query
+def prompts(spark, sf):
+    each = _answers(spark, sf)
+    return each.select("query_id", *[F.md5(answers.prompt(F.col("question"), m)).alias(m) for m in ("per_page", "joint", "stitched", "single")])
+
+
+@query
+def cache_fingerprint(spark, sf):
+    p = V.table(spark, sf, "pages")
+    return p.select("page_id", S.fingerprint(F.col("url"), F.col("page_id") * 1000, F.length("html")).alias("fingerprint"))
+
+
+@query
+def best_sessions(spark, sf):
+    """Three-key ranking within groups on the event table: the rank-and-keep shape of the page cap, at another grain."""
+    e = V.table(spark, sf, "events")
+    w = Window.partitionBy("user_id").orderBy(F.col("event_type"), F.col("value").desc(), F.col("event_id"))
+    return longs(e.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("user_id", "event_id", "event_type", "rank"), "rank")
