@@ -59,6 +59,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *[F.col(a).alias(b) for a, b in shown.items()], F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagewright.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
