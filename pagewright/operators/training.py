@@ -18,7 +18,7 @@ def weighted_draw(df: DataFrame, n: int, seed: int = 0, weight: str = "weight")
 
     Ranges are laid out per partition and shifted by the sums of the partitions before, so no single task sees all rows."""
     spark = df.sparkSession
-    part = df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.sum(weight).over(Window.partitionBy("_part").orderBy(F.xxhash64(*df.columns))))
+    part = df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.sum(weight).over(Window.partitionBy("_part").orderBy(F.xxhash64(*df.columns)).rowsBetween(Window.unboundedPreceding, 0)))
     sums = part.groupBy("_part").agg(F.sum(weight).alias("w")).select("_part", (F.sum("w").over(Window.orderBy("_part")) - F.col("w")).alias("_before"), F.sum("w").over(Window.partitionBy(F.lit(1))).alias("_all"))
     rows = part.join(F.broadcast(sums), "_part").withColumn("_hi", F.col("_before") + F.col("_in")).withColumn("_lo", F.col("_hi") - F.col(weight))
     draws = spark.range(n).select("id", (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)).alias("_u"))

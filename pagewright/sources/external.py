@@ -65,4 +65,4 @@ def encode(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list]], co
                 got += list(model(b.iloc[i : i + batch].tolist()))
             yield pd.Series([list(map(float, v)) for v in got])
 
-    return df.withColumn(out, T.normalised(vectors(F.col(column))))
+    return df.withColumn(out, vectors(F.col(column))).withColumn(out, T.normalised(F.col(out)))
