@@ -22,7 +22,10 @@ from pagewright.llm.components import components
 #: Vectors that the centres are fitted on, at most (on the driver: 16,000 of 1,000 numbers are 128 MB).
 SAMPLE_ROWS = 16_000
 MAX_CELLS = 4096
-BLOCK = 1024
+#: Cells: the root of the number of vectors over this. More cells prune more but are visited more.
+CELL_ROOT = 16
+#: Home vectors, and guests, of one block.
+BLOCK, GUESTS = 4096, 16384
 #: Rows of an Arrow batch: 2,000 vectors of 1,000 numbers are 8 MB.
 VECTOR_BATCH_ROWS = 2000
 
@@ -78,8 +81,8 @@ class Cells:
         return home, visits
 
 
-def groups(hits: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Component numbers of the rows and columns of a hit matrix, -1 without a hit. same: rows and columns are the same things."""
+def groups(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component numbers of the rows and columns of a hit matrix, -1 without a hit."""
     rows, cols = np.full(hits.shape[0], -1), np.full(hits.shape[1], -1)
     n = 0
     for r in np.flatnonzero(hits.any(axis=1)):
@@ -90,12 +93,8 @@ def groups(hits: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         while len(fresh):
             reached = np.flatnonzero(hits[fresh].any(axis=0) & (cols < 0))
             cols[reached] = n
-            if same:
-                fresh = reached[rows[reached] < 0]
-                rows[reached] = n
-            else:
-                fresh = np.flatnonzero(hits[:, reached].any(axis=1) & (rows < 0))
-                rows[fresh] = n
+            fresh = np.flatnonzero(hits[:, reached].any(axis=1) & (rows < 0))
+            rows[fresh] = n
         n += 1
     return rows, cols
 
@@ -114,11 +113,12 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec
     lone = lambda df: df.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if not m:
         return lone(all_rows)
-    k = int(min(MAX_CELLS, max(1, round(np.sqrt(m) / 16))))
+    k = int(min(MAX_CELLS, max(1, round(np.sqrt(m) / CELL_ROOT))))
     share = min(1.0, SAMPLE_ROWS * 0.95 / m)
     picked = good.where(F.pmod(F.xxhash64(F.lit("centres"), "id"), F.lit(1 << 20)) < int((1 << 20) * share) + 1).orderBy("id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
     sample = unit(matrix(picked, dim)) if len(picked) else np.eye(1, dim)
     k = min(k, len(sample))
+    kind = np.dtype(np.float32 if good.schema["v"].dataType.elementType.simpleString() == "float" else np.float64)
     cells = Cells(centres(sample, k), cosine)
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,71 +133,73 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec
     found = good.select("v").mapInPandas(sizes, "cell int, homes long, guests long").groupBy("cell").agg(F.sum("homes"), F.sum("guests")).collect()
     blocks = np.zeros((k, 2), dtype=np.int64)  # at most MAX_CELLS rows came
     for cell, h, g in found:
-        blocks[cell] = -(-h // BLOCK), -(-g // BLOCK)
+        blocks[cell] = -(-h // BLOCK), -(-g // GUESTS)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each pair of blocks (lo, hi) of a cell that the vector has to do with. Blocks of homes come first, then blocks of guests."""
         for b in batches:
             if not len(b):
                 continue
-            home, visits = cells.of(unit(matrix(b["v"], dim)))
-            draw = b["draw"].to_numpy()
-            out = []
-            for i in range(len(b)):
-                mine = np.flatnonzero(visits[i])
-                h, g = blocks[home[i]]
-                at = draw[i] % h
-                out += [(i, home[i], min(at, j), max(at, j), True) for j in range(h + g)]
-                for c in mine:
-                    h, g = blocks[c]
-                    out += [(i, c, j, h + draw[i] % g, False) for j in range(h)]
-            row, cell, lo, hi, own = (np.array(x) for x in zip(*out))
-            lists = [np.flatnonzero(v).astype(np.int32) for v in visits]
-            for s in range(0, len(row), 20_000):
+            x, draw = matrix(b["v"], dim), b["draw"].to_numpy()
+            home, visits = cells.of(unit(x))
+            packed = pd.DataFrame({"home": home.astype(np.int32), "id": b["id"].to_numpy(), "draw": draw, "n": b["n"].to_numpy(), "visits": [m.tobytes() for m in np.packbits(visits, axis=1)], "x": [r.tobytes() for r in x.astype(kind)]})
+            h, g = blocks[home, 0], blocks[home, 1]
+            row = np.repeat(np.arange(len(b)), h + g)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(h + g) - (h + g), h + g)
+            mine = (draw % h)[row]
+            guest, cell = np.nonzero(visits & (blocks[None, :, 0] > 0))
+            times = blocks[cell, 0]
+            guest, cell, at = np.repeat(guest, times), np.repeat(cell, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row_all = np.concatenate((row, guest))
+            keys = {
+                "cell": np.concatenate((home[row], cell)), "lo": np.concatenate((np.minimum(mine, other), at)),
+                "hi": np.concatenate((np.maximum(mine, other), blocks[cell, 0] + draw[guest] % np.maximum(blocks[cell, 1], 1))),
+            }
+            own = np.arange(len(row_all)) < len(row)
+            for s in range(0, len(row_all), 20_000):
                 part = slice(s, s + 20_000)
-                r = row[part]
-                yield pd.DataFrame({
-                    "cell": cell[part].astype(np.int32), "lo": lo[part].astype(np.int32), "hi": hi[part].astype(np.int32), "own": own[part], "home": home[r].astype(np.int32),
-                    "id": b["id"].to_numpy()[r], "draw": draw[r], "n": b["n"].to_numpy()[r], "visits": [lists[i] for i in r], "v": b["v"].iloc[r].to_numpy(),
-                })
+                yield pd.DataFrame({k: v[part].astype(np.int32) for k, v in keys.items()} | {"own": own[part]}).join(packed.iloc[row_all[part]].reset_index(drop=True))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in grouped(batches, ["cell", "lo", "hi"]):
-            cell, lo, hi = (int(g[x].iloc[0]) for x in ("cell", "lo", "hi"))
-            g = g.sort_values("id")
-            draw = g["draw"].to_numpy()
-            guests, same = hi >= blocks[cell][0], lo == hi
-            of = g["own"].to_numpy() & (draw % blocks[cell][0] == lo)
-            a = g[of]
-            b = a if same else g[~g["own"].to_numpy()] if guests else g[~of]
+            cell, lo, hi = (int(g[c].iloc[0]) for c in ("cell", "lo", "hi"))
+            homes, own = blocks[cell, 0], g["own"].to_numpy()
+            guests, same = hi >= homes, lo == hi
+            block = g["draw"].to_numpy() % homes
+            a = g[own & (block == lo)]
+            b = a if same else g[~own] if guests else g[own & (block == hi)]
             if not len(a) or not len(b):
                 continue
-            x, y = unit(matrix(a["v"], dim)), unit(matrix(b["v"], dim))
-            hits = x @ y.T >= cosine
-            if same:
-                np.fill_diagonal(hits, False)
-            if guests:  # a pair that both cells see counts where the guest's home has the smaller number
-                for j in np.flatnonzero(hits.any(axis=0)):
-                    other = int(b["home"].iloc[j])
-                    if other > cell:
-                        for i in np.flatnonzero(hits[:, j]):
-                            if other in a["visits"].iloc[i]:
-                                hits[i, j] = False
-            if not hits.any():
-                continue
-            ra, rb = groups(hits, same)
-            ids, add = a["id"].to_numpy(), hits @ b["n"].to_numpy()
-            component = ra
-            if not same:
-                ids, add, component = np.concatenate((ids, b["id"].to_numpy())), np.concatenate((add, hits.T @ a["n"].to_numpy())), np.concatenate((ra, rb))
-            linked = component >= 0
-            ids, add, component = ids[linked], add[linked], component[linked]
-            least = np.full(component.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, component, ids)
-            yield pd.DataFrame({"id": ids, "links": add, "root": least[component]})
+            x, y = (np.frombuffer(b"".join(p["x"]), dtype=kind).reshape(len(p), dim) for p in (a, b))
+            x32, y32 = unit(x).astype(np.float32), unit(y).astype(np.float32)
+            for s in range(0, len(b), 2048):
+                near = x32 @ y32[s : s + 2048].T >= cosine - 1e-4  # single precision rules out; double precision decides
+                r, c = np.flatnonzero(near.any(axis=1)), s + np.flatnonzero(near.any(axis=0))
+                if not len(r):
+                    continue
+                left, right = a.iloc[r], b.iloc[c]
+                ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+                hits = unit(x[r].astype(np.float64)) @ unit(y[c].astype(np.float64)).T >= cosine
+                if same:
+                    hits &= ids_a[:, None] != ids_b[None, :]
+                if guests:  # a pair that both cells see counts where the guest's home has the smaller number
+                    visits = np.unpackbits(np.frombuffer(b"".join(left["visits"]), dtype=np.uint8).reshape(len(left), -1), axis=1).astype(bool)
+                    of = right["home"].to_numpy()
+                    hits &= ~((of > cell)[None, :] & visits[:, of])
+                if not hits.any():
+                    continue
+                ids, add, component = ids_a, hits @ right["n"].to_numpy(), np.concatenate(groups(hits))
+                least = np.full(component.max() + 1, np.iinfo(np.int64).max)
+                linked = component >= 0
+                np.minimum.at(least, component[linked], np.concatenate((ids_a, ids_b))[linked])
+                if same:
+                    linked, component = linked[: len(ids_a)], component[: len(ids_a)]
+                else:
+                    ids, add = np.concatenate((ids, ids_b)), np.concatenate((add, hits.T @ left["n"].to_numpy()))
+                yield pd.DataFrame({"id": ids[linked], "links": add[linked], "root": least[component[linked]]})
 
     dealt = good.select("id", "n", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("draw"))
-    rows = dealt.mapInPandas(deal, f"cell int, lo int, hi int, own boolean, home int, id long, draw long, n long, visits array<int>, v {good.schema['v'].dataType.simpleString()}")
+    rows = dealt.mapInPandas(deal, "cell int, lo int, hi int, own boolean, home int, id long, draw long, n long, visits binary, x binary")
     by = ["cell", "lo", "hi"]
     linked = cut(rows.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInPandas(compare, "id long, links long, root long"))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))

@@ -250,6 +250,8 @@ def test_vector_groups(spark, monkeypatch):
     want = {i: (int(near[k].sum()), good[root[k]][0]) for k, (i, _) in enumerate(good)} | {i: (0, i) for i in range(240, 246)}
     for block in (1024, 16):
         monkeypatch.setattr(vector_dedup, "BLOCK", block)
+        monkeypatch.setattr(vector_dedup, "GUESTS", 4 * block)
+        monkeypatch.setattr(vector_dedup, "CELL_ROOT", 2)
         got = vector_dedup.vector_groups(vectors_of(spark, rows))
         assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.collect())
@@ -311,7 +313,7 @@ def test_preferences(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "a"), (1, 3, "assistant", "long answer"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "b"), (2, 3, "assistant", "short"),
              (5000, 0, "user", "hi"), (5000, 1, "assistant", "hello"), (7, 0, "user", "other"), (8, 0, None, None), (9, 0, "", "")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {(r.chosen_id, r.rejected_id): r for r in preferences.preference_pairs(df).collect()}
+    got = {(r.chosen_id, r.rejected_id): r for r in preferences.preference_pairs(df).where("kind = 'opening'").collect()}
     assert set(got) == {(1, 2), (2, 5000), (8, 9)}  # the second pair spans two ranges of ids
     r = got[1, 2]
     assert r.prompt == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n" and r.prompt_turns == 2
@@ -319,14 +321,34 @@ def test_preferences(spark):
     assert [r.chosen[s.start : s.end] for s in r.chosen_loss] == ["long answer<|end|>\n"]
     assert got[2, 5000].rejected == "" and got[2, 5000].rejected_loss == []
     assert got[8, 9].chosen == got[8, 9].rejected == ""
+    (one, two) = preferences.preference_pairs(df).where("kind = 'swap'").orderBy("chosen_id").collect()
+    assert (one.chosen_id, one.rejected_id, one.prompt_turns, two.chosen_id, two.rejected_id) == (1, 2, 3, 2, 1)
+    assert one.prompt == r.prompt + "<|user|>\na<|end|>\n"
+    assert (one.chosen, one.rejected) == ("<|assistant|>\nlong answer<|end|>\n", "<|assistant|>\nshort<|end|>\n")
+    assert [one.rejected[s.start : s.end] for s in one.rejected_loss] == ["short<|end|>\n"]
     assert preferences.preference_pairs(df.limit(0)).count() == 0
 
 
+def test_swaps_of_the_table(spark, small):
+    conv = {}
+    for r in spark.read.parquet(f"{small}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        conv.setdefault(r.conv_id, []).append((r.role, r.text))
+    answer = {k: max(i for i, (role, _) in enumerate(v) if role == "assistant") for k, v in conv.items() if any(role == "assistant" for role, _ in v)}
+    ren = lambda ts: "".join(f"<|{role}|>\n{t}<|end|>\n" for role, t in ts)
+    want = {}
+    for k, i in answer.items():
+        o = next((n for n in (k + 1, k - 1) if n in answer), None)
+        if o is not None:
+            want[k] = (o, i, ren(conv[k][:i]), ren([conv[k][i]]), ren([conv[o][answer[o]]]))
+    got = {r.chosen_id: (r.rejected_id, r.prompt_turns, r.prompt, r.chosen, r.rejected) for r in preferences.format_pairs(preferences.swapped_pairs(spark.read.parquet(f"{small}/conversations.parquet"))).collect()}
+    assert got == want
+
+
 def test_every_conversation_with_company_is_paired(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet")
     shared = rows.withColumn("text", F.when(F.col("turn") == 0, "same").otherwise(F.col("text"))).withColumn("role", F.when(F.col("turn") == 0, "user").otherwise(F.col("role")))
     for span in (1024, 2):
-        p = preferences.preference_pairs(shared, span).collect()
+        p = preferences.format_pairs(preferences.opening_pairs(shared, span)).collect()
         assert len(p) == rows.select("conv_id").distinct().count() - 1
         ids = sorted(r.conv_id for r in rows.select("conv_id").distinct().collect())
         assert {frozenset((r.chosen_id, r.rejected_id)) for r in p} == {frozenset(x) for x in zip(ids, ids[1:])}
