@@ -1,9 +1,10 @@
 """Operator 6: preference formatting of conversations.
 
-Conversations that open with the same turn are paired, each with the next one by id. The pair's longest common prefix
-of turns is rendered once as the prompt; what follows in the chosen and in the rejected conversation are the two
-completions, each with a mask of the spans that count for the loss: what the assistant says there, its end mark
-included. DataFrame functions only. An opening that very many conversations share is dealt out in ranges of ids.
+The longest common prefix of turns of a chosen and a rejected conversation is rendered once as the prompt; what follows
+in either is its completion, with a mask of the spans that count for the loss: what the assistant says there, its end
+mark included. A table of conversations gives pairs in two ways: conversations that open with the same turn, each with
+the next one by id; and each conversation with itself, its last answer exchanged for a neighbour's. DataFrame functions
+only. An opening that very many conversations share is dealt out in ranges of ids.
 """
 
 from __future__ import annotations
@@ -46,14 +47,12 @@ def conversations(turns: DataFrame) -> DataFrame:
     return c.select("conv_id", F.sha2(F.to_json(F.col("turns")[0]), 256).alias("opening"), "turns", said.alias("said"))
 
 
-def preference_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
-    """One row per pair: prompt, chosen and rejected completion with their loss spans, and the ids.
+def opening_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
+    """(x, y): chosen and rejected conversation, as structs of conv_id and turns.
 
     Of two conversations in a row (by id) with the same opening turn, the one in which the assistant says more is
-    chosen, at equal length the one with the smaller id; `preference_pairs` takes no other measure of quality. A
-    conversation whose opening no other shares makes no pair. Null roles and texts count as empty; a null conv_id is a
-    conversation of its own and comes first; turns that repeat a number are ordered by role and text. A completion may
-    be empty, where one conversation is a prefix of the other; of equal conversations both are."""
+    chosen, at equal length the one with the smaller id; no other measure of quality is taken. A conversation whose
+    opening no other shares makes no pair."""
     c = conversations(turns).withColumn("range", F.floor(F.coalesce("conv_id", F.lit(-1)) / span))
     me = F.struct("conv_id", "turns", "said")
     inside = Window.partitionBy("opening", "range").orderBy(F.col("conv_id").asc_nulls_first())
@@ -64,14 +63,43 @@ def preference_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
     pairs = rows.where("a is not null").select("a", "b").unionAll(first.join(chained, ["opening", "range"]).select("a", "b"))
     a, b = F.col("a"), F.col("b")
     better = a["said"] >= b["said"]
-    p = pairs.select(F.when(better, a).otherwise(b).alias("x"), F.when(better, b).otherwise(a).alias("y"))
+    return pairs.select(F.when(better, a).otherwise(b).dropFields("said").alias("x"), F.when(better, b).otherwise(a).dropFields("said").alias("y"))
+
+
+def swapped_pairs(turns: DataFrame) -> DataFrame:
+    """(x, y): each conversation up to its last answer is chosen; rejected is the same with the last answer of the
+    conversation with the next id, if there is none that of the one before, whose id it carries. Conversations without an
+    answer, without an id, or without a neighbour that has an answer make no pair. Ids are those of conversations, so unique."""
+    back = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant")
+    c = conversations(turns).withColumn("back", back).where("back > 0 and conv_id is not null")
+    c = c.withColumn("turns", F.slice("turns", 1, (F.size("turns") - F.col("back") + 1).cast("int")))
+    said = c.select("conv_id", F.element_at("turns", -1).alias("answer"))
+    at = lambda by, name: said.select((F.col("conv_id") - by).alias("conv_id"), F.struct("conv_id", "answer").alias(name))
+    near = c.join(at(1, "after"), "conv_id", "left").join(at(-1, "before"), "conv_id", "left").withColumn("other", F.coalesce("after", "before")).where("other is not null")
+    head = F.slice("turns", 1, F.size("turns") - 1)
+    return near.select(F.struct("conv_id", "turns").alias("x"), F.struct(F.col("other.conv_id").alias("conv_id"), F.concat(head, F.array("other.answer")).alias("turns")).alias("y"))
+
+
+def format_pairs(pairs: DataFrame, *extra: str) -> DataFrame:
+    """One row per pair (x, y): ids, prompt, chosen and rejected completion with their loss spans.
+
+    A completion may be empty, where one conversation is a prefix of the other; of equal conversations both are."""
     x, y = F.col("x.turns"), F.col("y.turns")
     differs = F.array_position(F.zip_with(x, y, lambda s, t: s.eqNullSafe(t)), False)
-    p = p.withColumn("common", F.when(differs > 0, differs - 1).otherwise(F.size(x)).cast("int"))
+    p = pairs.withColumn("common", F.when(differs > 0, differs - 1).otherwise(F.size(x)).cast("int"))
     rest = lambda t: F.slice(t, F.col("common") + 1, F.greatest(F.size(t), F.lit(1)))
     return p.select(
-        F.col("x.conv_id").alias("chosen_id"), F.col("y.conv_id").alias("rejected_id"), F.col("common").alias("prompt_turns"),
+        *extra, F.col("x.conv_id").alias("chosen_id"), F.col("y.conv_id").alias("rejected_id"), F.col("common").alias("prompt_turns"),
         render(F.slice(x, 1, F.col("common"))).alias("prompt"),
         render(rest(x)).alias("chosen"), loss_spans(rest(x)).alias("chosen_loss"),
         render(rest(y)).alias("rejected"), loss_spans(rest(y)).alias("rejected_loss"),
-    )
+    )
+
+
+def preference_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
+    """The pairs of both ways, formatted; `kind` is opening or swap.
+
+    Null roles and texts count as empty; a null conv_id is a conversation of its own and comes first; turns that repeat
+    a number are ordered by role and text."""
+    both = opening_pairs(turns, span).withColumn("kind", F.lit("opening")).unionByName(swapped_pairs(turns).withColumn("kind", F.lit("swap")))
+    return format_pairs(both, "kind")
