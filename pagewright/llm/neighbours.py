@@ -23,8 +23,8 @@ from pagewright.llm.common import cut, grouped, partitions
 from pagewright.llm.vector_dedup import VECTOR_BATCH_ROWS, matrix, usable
 
 KEEP, MEET, ROUNDS = 30, 12, 2
-DRAWS, LEAF = 6, 8192
-OPEN, STEPS, HELD = 15, 2, 60
+DRAWS, LEAF = 10, 8192
+OPEN, STEPS, HELD = 20, 2, 60
 LIST = "id long, nbr array<long>, sim array<float>"
 
 
