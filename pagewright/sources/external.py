@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -53,6 +53,25 @@ def run_ocr(manifest: DataFrame, recogniser: Callable[[], Callable[[str], str]])
     return raw.withColumn("r", flatten_ocr(F.col("ocr_json"))).select("page_id", "doc_id", "page_idx", "image_path", "r.num_boxes", "r.avg_score", "r.ocr_text", "error", "ocr_json")
 
 
+def write_ocr_json(pages: DataFrame, path: str) -> None:
+    """Raw OCR results (doc_id, page_idx, ocr_json) as text files, one folder a document; rows in page order within a file."""
+    out = pages.select("doc_id", "page_idx", "ocr_json").repartition("doc_id").sortWithinPartitions("doc_id", "page_idx")
+    out.select("doc_id", F.col("ocr_json").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def load_images(spark: SparkSession, folder: str, decoder: Callable[[], Callable[[bytes], bytes]], pattern: str = "*.png") -> DataFrame:
+    """(path, image): files of a folder, each through decoder()(content), for example to raw RGB."""
+
+    @F.pandas_udf("binary")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decode = decoder()
+        for b in batches:
+            yield b.map(decode)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where("length > 0")
+    return files.select("path", decoded("content").alias("image"))
+
+
 def encode(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list]], column: str, out: str = "embedding", batch: int = 16) -> DataFrame:
     """df with the L2-normalised vectors that encoder()(inputs) gives for a column, `batch` inputs at a time."""
 

@@ -39,7 +39,7 @@ def test_cache_validity(spark):
     assert not tables.cache_valid(info, good | {"image_pooling": "x"})
 
 
-def test_render_and_ocr(spark):
+def test_render_and_ocr(spark, tmp_path):
     def renderer():
         def render(path, dpi):
             if "bad" in path:
@@ -62,6 +62,11 @@ def test_render_and_ocr(spark):
 
     pages = external.run_ocr(external.render_pages(pdfs, renderer).where("page_id is not null"), recogniser).orderBy("page_id").collect()
     assert [(r.ocr_text, r.error) for r in pages] == [("hi", ""), ("", "no text")]
+    external.write_ocr_json(external.run_ocr(external.render_pages(pdfs, renderer).where("page_id is not null"), recogniser), f"{tmp_path}/raw")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/raw").where("doc_id = 'a'").collect()][1] == "{}"
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "i.png").write_bytes(b"abc")
+    assert [bytes(r.image) for r in external.load_images(spark, f"{tmp_path}/images", lambda: lambda b: bytes(b)[::-1]).collect()] == [b"cba"]
     e = external.encode(spark.createDataFrame([("abc",)], "t string"), lambda: lambda xs: [[3.0, 4.0] for _ in xs], "t").first()
     assert list(e.embedding) == pytest.approx([0.6, 0.8])
 
