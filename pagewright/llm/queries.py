@@ -84,6 +84,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from pagewright.llm import mixing
+    from pagewright.llm.oracle import SQL
 
-    return {"op7_mixing": mixing.oracle()}
+    return dict(SQL)

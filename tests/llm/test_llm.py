@@ -459,6 +459,22 @@ def test_repeat_query(spark, small):
     assert [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got] == [(i, n, m, hashlib.sha256(k.encode()).hexdigest()) for (i, _), (n, m, k) in zip(docs, want)]
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(name, spark, small):
+    import glob
+    import os
+
+    import duckdb
+
+    c = duckdb.connect()
+    for f in glob.glob(f"{small}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    a, b = queries.queries()[name](spark, small).toPandas(), c.sql(queries.oracle_sql()[name]).df()
+    by = [k for k in ("doc_id", "query_id", "rank", "vec_id") if k in a.columns]
+    a, b = (x[sorted(x.columns)].sort_values(by).reset_index(drop=True) for x in (a, b))
+    assert list(a.columns) == list(b.columns) and len(a) == len(b) and (a == b).all().all()
+
+
 # The pipeline
 
 
