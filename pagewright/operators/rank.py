@@ -14,20 +14,28 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SMALL_QUERIES = 50_000
 
 
-def term_counts(corpus: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, term, tf, dl) of non-empty pages."""
+def term_counts(corpus: DataFrame, key: list[str], text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl) of non-empty pages; only of the given terms, where some are given."""
     t = corpus.where(F.coalesce(F.length(text), F.lit(0)) > 0).select(*key, T.tokens(F.col(text)).alias("t"))
-    return t.select(*key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    each = t.select(*key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(corpus: DataFrame, key: list[str], text: str) -> DataFrame:
+def document_frequency(corpus: DataFrame, text: str) -> DataFrame:
+    """(term, df). A page's distinct terms are found in its row, so that only counts are shuffled."""
+    t = corpus.where(F.coalesce(F.length(text), F.lit(0)) > 0).select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def corpus_stats(corpus: DataFrame, text: str) -> DataFrame:
     """One row: n_pages and avgdl over non-empty pages."""
     return corpus.where(F.coalesce(F.length(text), F.lit(0)) > 0).agg(F.count("*").alias("n_pages"), F.avg(F.size(T.tokens(F.col(text)))).alias("avgdl"))
 
 
-def term_idf(tf: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, idf): negative values become a share of the mean over all terms, negatives included."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def term_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, avgdl, idf): negative values become a share of the mean over all terms, negatives included."""
     n = F.col("n_pages")
     raw = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))  # one row
@@ -40,9 +48,11 @@ def query_terms(queries: DataFrame, text: str) -> DataFrame:
 
 def bm25_scores(corpus: DataFrame, queries: DataFrame, key: list[str], text: str = "text", query_text: str = "query_en") -> DataFrame:
     """(query_id, key, score) of pages that share a term with the query. Terms of no query are dropped before the scoring join, after they have counted in the statistics."""
-    tf = term_counts(corpus, key, text)
-    idf = term_idf(tf, corpus_stats(corpus, key, text))
-    q = query_terms(queries, query_text).join(idf, "term")
+    idf = term_idf(document_frequency(corpus, text), corpus_stats(corpus, text))
+    asked = query_terms(queries, query_text)
+    terms = asked.select("term").distinct()
+    tf = term_counts(corpus, key, text, F.broadcast(terms) if queries.count() <= SMALL_QUERIES else terms)
+    q = asked.join(idf, "term")
     f = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(q, "term").groupBy("query_id", *key).agg(F.round(F.sum(part), 6).alias("score"))

@@ -186,8 +186,7 @@ def _dense(spark, sf, k=5):
 
 @query
 def token_stats(spark, sf):
-    tf = rank.term_counts(_corpus(spark, sf), ["src_id"], "text")
-    idf = rank.term_idf(tf, rank.corpus_stats(_corpus(spark, sf), ["src_id"], "text"))
+    idf = rank.term_idf(rank.document_frequency(_corpus(spark, sf), "text"), rank.corpus_stats(_corpus(spark, sf), "text"))
     return idf.select("term", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
 
 
