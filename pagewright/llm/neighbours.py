@@ -1,13 +1,15 @@
 """Operator 8: approximate nearest neighbours by NN-descent.
 
-Equal vectors are one node. First lists come from leaves: nodes on the same side of a few random planes are compared
-with each other, for several draws of planes. Then, round by round, each node brings its neighbours and those that
-name it together, and they learn of each other: a Spark join of neighbours of neighbours. Queries walk the graph
-greedily from their own lists, opening the nearest nodes that aren't open yet. Nearness is the inner product; lists
-hold it in single precision, and what comes out at the end is measured again in double precision.
-
-The lists (KEEP), the neighbours that meet (MEET) and the nodes opened (OPEN) are the method's parameters: it is
-approximate, and its recall is measured against brute force in the tests.
+Equal vectors are one node. First lists come from leaves: all nodes are halved at the median along a random direction,
+and the halves again, until a leaf holds LEAF nodes at most; the nodes of a leaf are compared with each other, for
+several draws of directions. Then, round by round, each node brings its neighbours and those that name it together, and
+they learn of each other: a Spark join of neighbours of neighbours. Rounds go on until few list entries change. Queries
+walk the graph greedily from their own lists, opening the nearest nodes that aren't open yet, until all they hold are.
+Nearness is the inner product; lists hold it in single precision, and what comes out at the end is measured again in
+double precision.
+
+The lists (KEEP), the neighbours that meet (MEET), the nodes opened at a time (OPEN) and held (HELD) are the method's
+parameters: it is approximate, and its recall is measured against brute force in the tests.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import cut, grouped, partitions
 from pagewright.llm.vector_dedup import VECTOR_BATCH_ROWS, matrix, usable
 
-KEEP, MEET, ROUNDS = 30, 12, 2
+KEEP, MEET = 30, 12
+#: Rounds end when no more than this share of the list entries is new.
+SETTLED = 0.002
 DRAWS, LEAF = 10, 8192
-OPEN, STEPS, HELD = 20, 2, 60
+OPEN, HELD = 20, 60
 LIST = "id long, nbr array<long>, sim array<float>"
 
 
@@ -67,24 +71,48 @@ def merged(lists: DataFrame, keep: int) -> DataFrame:
     return g.select("id", pick("n", "s").alias("r")).select("id", "r.nbr", "r.sim")
 
 
-def leaf_lists(nodes: DataFrame, n: int, dim: int, keep: int, draws: int = DRAWS, leaf: int = LEAF, seed: int = 3) -> DataFrame:
-    """First lists (LIST), one per node and draw. A leaf that is far too large, as of near copies, is dealt out at random."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    planes = np.random.default_rng(seed).standard_normal((draws, dim, bits)).astype(np.float32)
+def halvings(n: int, leaf: int) -> int:
+    """How often n nodes are halved until a leaf holds `leaf` at most."""
+    return max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def draws_of(n: int, leaf: int) -> int:
+    """Draws of directions: one where a leaf holds everything, and more the more often the nodes are halved."""
+    depth = halvings(n, leaf)
+    return max(DRAWS, 1 + 3 * depth) if depth else 1
+
+
+def leaves(nodes: DataFrame, n: int, dim: int, draws: int, leaf: int, seed: int = 3) -> DataFrame:
+    """(draw, code, id): each node's leaf in each draw. Whatever lies close together is halved like the rest, so no leaf stays crowded."""
+    depth = halvings(n, leaf) + 2  # medians are approximate
+    ways = np.random.default_rng(seed).standard_normal((draws, dim, depth)).astype(np.float32)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = _vectors(b["x"]) if len(b) else np.zeros((0, dim), dtype=np.float32)
             for d in range(draws):
-                yield pd.DataFrame({"draw": np.int32(d), "code": ((x @ planes[d]) > 0) @ (1 << np.arange(bits, dtype=np.int64)), "id": b["id"], "x": b["x"]})
-
-    coded = nodes.mapInPandas(code, "draw int, code long, id long, x binary")
-    sizes = nodes.mapInPandas(code, "draw int, code long, id long, x binary").groupBy("draw", "code").agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.lit(1), F.round(F.col("size") / leaf)).cast("int")
-    dealt = coded.join(sizes, ["draw", "code"]).withColumn("block", F.pmod(F.xxhash64("draw", "id"), blocks).cast("int"))
+                yield pd.DataFrame({"draw": np.int32(d), "code": np.int64(1), "id": b["id"], "along": list(x @ ways[d])})
+
+    rows = cut(nodes.mapInPandas(project, "draw int, code long, id long, along array<float>"))
+    for level in range(depth):
+        at = F.col("along")[level]
+        crowded = rows.groupBy("draw", "code").agg(F.count("*").alias("size"), F.percentile_approx(at, 0.5).alias("mid")).where(F.col("size") > leaf)
+        crowded = cut(crowded.select("draw", "code", "mid"))
+        if crowded.isEmpty():
+            break
+        upper = F.when(at == F.col("mid"), F.pmod(F.xxhash64("draw", "id", F.lit(level)), F.lit(2)) == 1).otherwise(at > F.col("mid"))
+        code = F.when(F.col("mid").isNull(), F.col("code")).otherwise(F.col("code") * 2 + upper.cast("long"))
+        rows = cut(rows.join(crowded, ["draw", "code"], "left").select("draw", code.alias("code"), "id", "along"))
+    return rows.select("draw", "code", "id")
+
+
+def leaf_lists(nodes: DataFrame, n: int, dim: int, keep: int, draws: int | None = None, leaf: int | None = None, seed: int = 3) -> DataFrame:
+    """First lists (LIST), one per node and draw."""
+    leaf = leaf or LEAF
+    dealt = leaves(nodes, n, dim, draws or draws_of(n, leaf), leaf, seed).join(nodes, "id")
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in grouped(batches, ["draw", "code", "block"]):
+        for g in grouped(batches, ["draw", "code"]):
             ids, x = g["id"].to_numpy(), _vectors(g["x"])
             for a in range(0, len(ids), 512):
                 s = x[a : a + 512] @ x.T
@@ -92,21 +120,21 @@ def leaf_lists(nodes: DataFrame, n: int, dim: int, keep: int, draws: int = DRAWS
                 top = _best(s, min(keep, len(ids) - 1))
                 yield pd.DataFrame({"id": ids[a : a + len(s)], "nbr": list(ids[top]), "sim": list(np.take_along_axis(s, top, 1))})
 
-    by = ["draw", "code", "block"]
+    by = ["draw", "code"]
     return dealt.select(*by, "id", "x").repartition(partitions(nodes.sparkSession), *by).sortWithinPartitions(*by).mapInPandas(lists, LIST)
 
 
-def reverse(graph: DataFrame, take: int, of: int) -> DataFrame:
-    """(u, v): for each node u, `take` of the nodes v that name it among their first `of`."""
+def reverse(graph: DataFrame, take: int, of: int, seed: int = 0) -> DataFrame:
+    """(u, v): for each node u, `take` of the nodes v that name it among their first `of`; others by another seed."""
     named = graph.select(F.explode(F.slice("nbr", 1, of)).alias("u"), F.col("id").alias("v"))
-    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))
+    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(seed)))
     return named.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= take).select("u", "v")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, keep: int, meet: int) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, keep: int, meet: int, seed: int = 0) -> DataFrame:
     """One round: whoever meets at a node and is nearer than the last of its own list joins that list."""
     forward = graph.select(F.col("id").alias("u"), F.explode(F.slice("nbr", 1, meet)).alias("v"))
-    there = forward.unionAll(reverse(graph, meet, meet)).distinct()
+    there = forward.unionAll(reverse(graph, meet, meet, seed)).distinct()
     own = nodes.join(graph.select("id", F.when(F.size("nbr") >= keep, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("last")), "id")
     guests = there.join(own.withColumnRenamed("id", "v"), "v").repartition(partitions(graph.sparkSession), "u").sortWithinPartitions("u")
 
@@ -129,20 +157,28 @@ def descend(graph: DataFrame, nodes: DataFrame, keep: int, meet: int) -> DataFra
     return merged(graph.unionAll(guests.select("u", "v", "x", "last").mapInPandas(learn, LIST)), keep)
 
 
-def neighbour_graph(nodes: DataFrame, n: int, dim: int, keep: int = KEEP, meet: int = MEET, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, n: int, dim: int, keep: int = KEEP, meet: int = MEET) -> DataFrame:
+    """Lists of all nodes, brought together until a round changes hardly anything. Lists only get nearer, so it ends."""
     graph = cut(merged(leaf_lists(nodes, n, dim, keep), keep))
-    for _ in range(rounds):
-        graph = cut(descend(graph, nodes, keep, meet))
+    seed, new = 0, n * keep
+    while new > SETTLED * n * keep:
+        later = cut(descend(graph, nodes, keep, meet, seed))
+        both = later.select("id", "nbr").join(graph.select("id", F.col("nbr").alias("old")), "id")
+        new = both.agg(F.coalesce(F.sum(F.size(F.array_except("nbr", "old"))), F.lit(0))).first()[0]
+        graph, seed = later, seed + 1
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int = OPEN, steps: int = STEPS, held: int = HELD) -> DataFrame:
-    """(id, nbr, sim) with up to `held` nodes for each query node (queries: id), by greedy search from its own list."""
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int = OPEN, held: int = HELD) -> DataFrame:
+    """(id, nbr, sim) with up to `held` nodes for each query node (queries: id), by greedy search from its own list until
+    every node it holds has been opened."""
     links = cut(graph.select("id", "nbr").unionAll(reverse(graph, KEEP, KEEP).groupBy(F.col("u").alias("id")).agg(F.collect_list("v").alias("nbr"))).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("to")))
     state = graph.join(queries.select("id"), "id").withColumn("opened", F.array().cast("array<long>"))
     xq = nodes.select("id", F.col("x").alias("xq"))
-    for _ in range(steps):
+    while True:
         state = cut(state.withColumn("front", F.slice(F.array_except("nbr", "opened"), 1, open_)))
+        if state.where(F.size("front") > 0).isEmpty():
+            return state.select("id", "nbr", "sim")
         met = state.select("id", F.explode("front").alias("f")).join(links.withColumnRenamed("id", "f"), "f").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
         new = met.join(state.select("id", "nbr"), "id").select("id", F.explode(F.array_except("to", "nbr")).alias("c")).where("c <> id")
         pairs = new.join(nodes.select(F.col("id").alias("c"), "x"), "c").join(xq, "id")
@@ -155,7 +191,6 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int =
         best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.col("s").desc(), "c"))).where(F.col("nth") <= held).groupBy("id").agg(F.collect_list("c").alias("nbr"), F.collect_list("s").alias("sim"))
         lists = merged(state.select("id", "nbr", "sim").unionAll(best), held)
         state = lists.join(state.select("id", F.concat("opened", "front").alias("opened")), "id")
-    return state.select("id", "nbr", "sim")
 
 
 def _inner(a: Column, b: Column) -> Column:

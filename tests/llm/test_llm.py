@@ -306,6 +306,25 @@ def test_recall_with_small_leaves(spark, monkeypatch):
     assert hit >= 0.9 * 20 * 75
 
 
+def test_crowded_leaves_are_halved(spark, monkeypatch):
+    """No leaf holds more than LEAF nodes, however close most vectors are, and recall holds among them and beside them."""
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1600, 16))
+    x[:1200] = x[0] + 0.07 * x[:1200] * np.linalg.norm(x[0]) / 4
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    nodes = neighbours._nodes(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<float>"), 16)
+    dealt = neighbours.leaves(nodes, 1600, 16, 3, 64)
+    sizes = [r["count"] for r in dealt.groupBy("draw", "code").count().collect()]
+    assert sum(sizes) == 3 * 1600 and max(sizes) <= 64
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    s = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    s[np.arange(80), np.arange(0, 1600, 20)] = -9
+    got = {r.query_id: set(r.ids) for r in neighbours.nearest(rows, F.col("id") % 20 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()}
+    hits = [len(set(np.argsort(-s[q // 20])[:20].tolist()) & got[q]) for q in range(0, 1600, 20)]
+    assert np.mean(hits[:60]) >= 0.95 * 20 and np.mean(hits[60:]) >= 0.95 * 20
+
+
 # 6: preferences
 
 
