@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import cut, partitions
+
 #: Ids of one range: within it, rows of one opening are paired in one task; ranges are then chained by one row each.
 RANGE = 1024
 END = "<|end|>\n"
@@ -66,16 +68,28 @@ def opening_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
     return pairs.select(F.when(better, a).otherwise(b).dropFields("said").alias("x"), F.when(better, b).otherwise(a).dropFields("said").alias("y"))
 
 
-def swapped_pairs(turns: DataFrame) -> DataFrame:
+def numbered(c: DataFrame) -> DataFrame:
+    """c with `number`, consecutive by conv_id: a row's place in its range of ids after the rows of the ranges before it."""
+    ranged = cut(c.select("conv_id").repartitionByRange(partitions(c.sparkSession), "conv_id").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))  # a row per partition
+    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("conv_id"))
+    return c.join(ranged.join(F.broadcast(before), "range").select("conv_id", (F.col("before") + place).alias("number")), "conv_id")
+
+
+def swapped_pairs(turns: DataFrame, gaps: bool = False) -> DataFrame:
     """(x, y): each conversation up to its last answer is chosen; rejected is the same with the last answer of the
     conversation with the next id, if there is none that of the one before, whose id it carries. Conversations without an
-    answer, without an id, or without a neighbour that has an answer make no pair. Ids are those of conversations, so unique."""
+    answer, without an id, or without a neighbour that has an answer make no pair. Ids are those of conversations, so unique.
+
+    The next id is conv_id + 1; with `gaps` it is the next id of a conversation with an answer, however far."""
     back = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant")
     c = conversations(turns).withColumn("back", back).where("back > 0 and conv_id is not null")
     c = c.withColumn("turns", F.slice("turns", 1, (F.size("turns") - F.col("back") + 1).cast("int")))
-    said = c.select("conv_id", F.element_at("turns", -1).alias("answer"))
-    at = lambda by, name: said.select((F.col("conv_id") - by).alias("conv_id"), F.struct("conv_id", "answer").alias(name))
-    near = c.join(at(1, "after"), "conv_id", "left").join(at(-1, "before"), "conv_id", "left").withColumn("other", F.coalesce("after", "before")).where("other is not null")
+    c = numbered(c) if gaps else c.withColumn("number", F.col("conv_id"))
+    said = c.select("number", "conv_id", F.element_at("turns", -1).alias("answer"))
+    at = lambda by, name: said.select((F.col("number") - by).alias("number"), F.struct("conv_id", "answer").alias(name))
+    near = c.join(at(1, "after"), "number", "left").join(at(-1, "before"), "number", "left").withColumn("other", F.coalesce("after", "before")).where("other is not null")
     head = F.slice("turns", 1, F.size("turns") - 1)
     return near.select(F.struct("conv_id", "turns").alias("x"), F.struct(F.col("other.conv_id").alias("conv_id"), F.concat(head, F.array("other.answer")).alias("turns")).alias("y"))
 
@@ -96,10 +110,10 @@ def format_pairs(pairs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def preference_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
-    """The pairs of both ways, formatted; `kind` is opening or swap.
+def preference_pairs(turns: DataFrame, span: int = RANGE, gaps: bool = False) -> DataFrame:
+    """The pairs of both ways, formatted; `kind` is opening or swap. With `gaps`, swaps reach over missing ids.
 
     Null roles and texts count as empty; a null conv_id is a conversation of its own and comes first; turns that repeat
     a number are ordered by role and text."""
-    both = opening_pairs(turns, span).withColumn("kind", F.lit("opening")).unionByName(swapped_pairs(turns).withColumn("kind", F.lit("swap")))
+    both = opening_pairs(turns, span).withColumn("kind", F.lit("opening")).unionByName(swapped_pairs(turns, gaps).withColumn("kind", F.lit("swap")))
     return format_pairs(both, "kind")

@@ -48,7 +48,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.preferences import preference_pairs
 
-    return preference_pairs(table(spark, sf_dir, "conversations"))
+    return preference_pairs(table(spark, sf_dir, "conversations"), gaps=True)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,6 +363,17 @@ def test_swaps_of_the_table(spark, small):
     assert got == want
 
 
+def test_swaps_over_gaps(spark):
+    """Sparse ids, and neighbours without an answer: everyone with an answer is swapped with the next one that has one."""
+    ids = [3, 10**6, 10**6 + 1, 5 * 10**12, 5 * 10**12 + 7]
+    turns = [t for i in ids for t in ((i, 0, "user", f"q{i}"), (i, 1, "assistant", f"a{i}"))] + [(4, 0, "user", "no answer"), (10**6 + 2, 0, "user", "none")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = {a: b for a, b in zip(ids, [*ids[1:], ids[-2]])}
+    p = preferences.preference_pairs(df, gaps=True).where("kind = 'swap'").collect()
+    assert {r.chosen_id: r.rejected_id for r in p} == want and len(p) == len(ids)
+    assert all(f"a{want[r.chosen_id]}<" in r.rejected for r in p)
+
+
 def test_every_conversation_with_company_is_paired(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet")
     shared = rows.withColumn("text", F.when(F.col("turn") == 0, "same").otherwise(F.col("text"))).withColumn("role", F.when(F.col("turn") == 0, "user").otherwise(F.col("role")))
