@@ -40,8 +40,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the calibrated probabilities sample."""
-    return mix(docs.select(*COLUMNS)).where("mix_sampled").select(*COLUMNS)
+    """The documents that the calibrated weights draw, each as often as it is drawn."""
+    drawn = mix(docs.select(*COLUMNS)).where("mix_copies > 0")
+    return drawn.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,7 +64,11 @@ def draw(id_column: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with mix_tokens (words), mix_weight, mix_probability (fraction x weight, 1 at most) and mix_sampled.
+    """docs with mix_tokens (words), mix_weight, mix_probability (fraction x weight, 1 at most), mix_sampled and mix_copies.
+
+    mix_copies says how often a row is drawn: fraction x weight times on average, so cells whose probability is cut off
+    at 1 are repeated and the copies have the raked margins. It is 0 where mix_sampled is false, and 1 at most for a row
+    without tokens.
 
     A null source, language or topic is a value of its own, shown as ''. Null and empty texts have no tokens; they are
     sampled like others. Rows of one id are sampled alike. Columns of these names, and of the margins' helper names
@@ -78,7 +82,9 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFra
         weights = F.broadcast(weights)
     joined = rows.join(weights, [f"mix_{m}" for m in MARGINS], "left")
     p = F.least(F.lit(1.0), F.lit(float(fraction)) * F.col("mix_weight"))
-    return joined.withColumn("mix_probability", p).withColumn("mix_sampled", draw(id_column, seed) < F.col("mix_probability"))
+    due = F.lit(float(fraction)) * F.col("mix_weight")
+    copies = F.when(F.col("mix_tokens") > 0, F.floor(due) + (draw(id_column, seed) < due - F.floor(due)).cast("long")).otherwise(F.col("mix_sampled").cast("long"))
+    return joined.withColumn("mix_probability", p).withColumn("mix_sampled", draw(id_column, seed) < F.col("mix_probability")).withColumn("mix_copies", copies)
 
 
 def oracle(rounds: int = ROUNDS, fraction: float = FRACTION, seed: int = 7) -> str:

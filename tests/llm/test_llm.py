@@ -416,6 +416,22 @@ def test_mixing_odd_rows(spark, odd):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_copies_meet_targets(spark, small):
+    """A source that needs more than all its rows is repeated: the copies have the target shares and the fraction."""
+    docs = spark.range(4000).selectExpr("cast(id as string) as doc_id", "'a b c d e f g h i j' as text", "if(id % 10 = 0, 'rare', 'common') as source", "'en' as lang")
+    share = spark.createDataFrame([("rare", 0.5), ("common", 0.5)], "source string, share double")
+    m = mixing.mix(docs, targets={"source": share}).toPandas()
+    got = (m.mix_copies * m.mix_tokens).groupby(m.source).sum()
+    assert abs(got["rare"] / got.sum() - 0.5) < 0.02 and abs(got.sum() / m.mix_tokens.sum() - 0.5) < 0.02
+    assert ((m.mix_copies > 0) == m.mix_sampled).all()
+    import corpus_pipeline as p
+
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    want = {r.doc_id: r.mix_copies for r in mixing.mix(table).where("mix_copies > 0").collect()}
+    drawn = {r.doc_id: r["count"] for r in p.mixing(spark, table, small).groupBy("doc_id").count().collect()}
+    assert drawn == want and max(want.values()) > 1
+
+
 # 10: repeated passages
 
 
