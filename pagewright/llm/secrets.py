@@ -40,6 +40,11 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]"),
     Rule("hex", r"[0-9a-f]{24,}", r"[0-9a-f]{24}"),
 )
+# What follows a private key's first line: all up to its END line, if no other BEGIN comes before; else, as of a key that
+# was cut off, header lines and lines of base64, the last of which may be short. Line ends may be written as \\n.
+KEY_TO_END = r"(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]{0,20}PRIVATE KEY-----"
+GAP = r"(?:[\x20\t\r\n]|\\[rn])*"
+KEY_LINES = rf"(?:{GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:{GAP}[A-Za-z0-9+/]{{20,}}={{0,2}})+(?:{GAP}[A-Za-z0-9+/]{{1,19}}={{0,2}}(?=[\x20\t]*(?:[\r\n\\]|\Z)))?)?"
 # Published formats of further credentials.
 EXTRA = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]"),
@@ -47,7 +52,7 @@ EXTRA = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}", r"AIza[0-9A-Za-z_-]"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}", r"[sr]k_live_[0-9A-Za-z]"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", r"-----BEGIN [A-Z ]"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:{KEY_TO_END}|{KEY_LINES})", r"-----BEGIN [A-Z ]"),
 )
 RULES = BASE + EXTRA
 
