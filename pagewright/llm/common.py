@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -13,8 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch for operators that read whole texts: at the longest texts seen (120 kB) a batch stays near 30 MB.
-TEXT_BATCH_ROWS = 256
+#: Bytes of an Arrow batch that goes to a Python worker, of whatever the operator: a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: Keys that spread_join() sends to all tasks, at most.
+HOT_KEYS = 1000
 
 _shipped: set[str] = set()
 
@@ -39,22 +42,33 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session: the default of 10,000 rows is no bound on bytes when texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, to the same figure for all operators; a lower bound of the user's own stays.
+
+    The bound is read when a plan is run, so it can't be set for one plan alone. Numbers of rows are left as they are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where none is named."""
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "pagewright-checkpoints"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours, wherever its file system is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -65,6 +79,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+    """rows joined (inner or left) with a table of one row per key, whichever keys are hot.
+
+    Fewer than `most` keys can have more than one in `most` of all rows: their side of the join is broadcast and their rows
+    stay where they are; the others are shuffled. Counts are combined before their shuffle. rows is read several times,
+    so it should be a checkpoint or cheap to compute."""
+    n = rows.count()
+    held = rows.groupBy(*on).agg(F.count("*").alias("_held")).where(F.col("_held") > max(n // most, 200))
+    hot = cut(held.select(*on))
+    if hot.isEmpty():
+        return rows.join(per_key, on, how)
+    hot = F.broadcast(hot)
+    near = rows.join(hot, on, "left_semi").join(F.broadcast(cut(per_key.join(hot, on, "left_semi"))), on, how)
+    return near.unionByName(rows.join(hot, on, "left_anti").join(per_key, on, how))
+
+
 def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups out of batches that are sorted by the keys. A group may span batches; what is held is one group and one batch."""
     held: list[pd.DataFrame] = []

@@ -1,12 +1,15 @@
 """Operator 8: approximate nearest neighbours by NN-descent.
 
-Equal vectors are one node. First lists come from leaves: all nodes are halved at the median along a random direction,
-and the halves again, until a leaf holds LEAF nodes at most; the nodes of a leaf are compared with each other, for
-several draws of directions. Then, round by round, each node brings its neighbours and those that name it together, and
-they learn of each other: a Spark join of neighbours of neighbours. Rounds go on until few list entries change. Queries
-walk the graph greedily from their own lists, opening the nearest nodes that aren't open yet, until all they hold are.
-Nearness is the inner product; lists hold it in single precision, and what comes out at the end is measured again in
-double precision.
+Equal vectors are one node. Nodes are numbered by bucket: random planes, fitted on a bounded sample, cut the table into
+buckets of nodes that lie near each other, and a node's number begins with its bucket. First lists come from leaves:
+in each of several draws of planes a bucket is halved again and again at its median until a leaf holds LEAF nodes at
+most, and the nodes of a leaf are compared with each other. Then, round by round, each node brings some of its
+neighbours and of those that name it together, others each time, and they learn of each other: a Spark join of
+neighbours of neighbours. Rounds go on until few list entries change. Queries walk the graph greedily from their own
+lists, opening the nearest nodes that aren't open yet, until all they hold are open. The way is the same at every size.
+
+A vector is sent once to each bucket that needs it, in 16-bit steps of its largest number (an inner product is off by
+some 0.00001 of the vectors' lengths); what comes out at the end is measured again in double precision.
 
 The lists (KEEP), the neighbours that meet (MEET), the nodes opened at a time (OPEN) and held (HELD) are the method's
 parameters: it is approximate, and its recall is measured against brute force in the tests.
@@ -18,208 +21,342 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, grouped, partitions
-from pagewright.llm.vector_dedup import VECTOR_BATCH_ROWS, matrix, usable
+from pagewright.llm.common import bounded_batches, cut, partitions, spread_join
+from pagewright.llm.vector_dedup import matrix, usable
 
-KEEP, MEET = 30, 12
+KEEP, MEET = 40, 20
 #: Rounds end when no more than this share of the list entries is new.
-SETTLED = 0.002
-DRAWS, LEAF = 10, 8192
-OPEN, HELD = 20, 60
-LIST = "id long, nbr array<long>, sim array<float>"
-
+SETTLED = 0.03
+DRAWS, LEAF = 8, 256
+#: Nodes of a bucket, and numbers in a bucket's vectors, at most; the sample that planes are fitted on, in rows and numbers.
+BUCKET, BUCKET_NUMBERS, SAMPLE_ROWS, SAMPLE_NUMBERS = 4096, 1 << 19, 1 << 16, 1 << 24
+OPEN, HELD = 80, 120
+#: Bits of a node's number within its bucket.
+PLACE = 32
+LIST = "key long, nbr array<long>, sim array<float>"
 
-def _vectors(column: pd.Series) -> np.ndarray:
-    rows = column.tolist()
-    return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), -1)
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    scale = np.maximum(np.abs(x).max(axis=1, initial=0), np.finfo(np.float32).tiny).astype(np.float32) / np.float32(32767)
+    steps = np.rint(x / scale[:, None]).clip(-32767, 32767).astype(np.int16)
+    return [s.tobytes() + r.tobytes() for s, r in zip(scale, steps)]
 
-def _nodes(rows: DataFrame, dim: int) -> DataFrame:
-    """(id, x): packed single-precision vectors of (id, v)."""
 
-    @F.pandas_udf("binary")
-    def pack(v: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in matrix(v, dim).astype(np.float32)], dtype=object)
+def _column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    c = table.column(name)
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
-    return rows.select("id", pack("v").alias("x"))
 
+def _numbers(table, name: str) -> np.ndarray:
+    return _column(table, name).to_numpy(zero_copy_only=False)
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of each row's k largest."""
-    k = min(k, sims.shape[1])
-    return np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else np.zeros((len(sims), 0), dtype=np.int64)
 
+def _vectors(table, name: str = "x") -> np.ndarray:
+    """Single-precision vectors of a column of packed ones."""
+    rows = _column(table, name).to_pylist()
+    raw = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    return raw[:, 4:].copy().view(np.int16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
 
-def merged(lists: DataFrame, keep: int) -> DataFrame:
-    """One list per id: the `keep` nearest of all its lists' entries, nearest first, ties to the smaller id. An id has a bounded number of lists."""
-
-    @F.pandas_udf("nbr array<long>, sim array<float>")
-    def pick(nbrs: pd.Series, sims: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, s in zip(nbrs, sims):
-            n, s = np.concatenate(list(n)), np.concatenate(list(s))
-            n, at = np.unique(n, return_index=True)
-            s = s[at]
-            top = np.argsort(-s, kind="stable")[:keep]
-            out.append((n[top], s[top]))
-        return pd.DataFrame(out, columns=["nbr", "sim"])
 
-    g = lists.groupBy("id").agg(F.collect_list("nbr").alias("n"), F.collect_list("sim").alias("s"))
-    return g.select("id", pick("n", "s").alias("r")).select("id", "r.nbr", "r.sim")
+def _lists(table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each entry, entry) of a list column."""
+    c = _column(table, name)
+    size = np.diff(c.offsets.to_numpy())
+    return np.repeat(np.arange(len(c)), size), c.flatten().to_numpy()
 
 
-def halvings(n: int, leaf: int) -> int:
-    """How often n nodes are halved until a leaf holds `leaf` at most."""
-    return max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
+def _list_rows(key: np.ndarray, nbr: np.ndarray, sim: np.ndarray, **more: np.ndarray) -> pa.Table:
+    """Rows of LIST out of entries that are sorted by key; `more` holds an entry's further numbers, summed by key."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+    lists = {n: pa.ListArray.from_arrays(offsets, pa.array(v)) for n, v in (("nbr", nbr.astype(np.int64)), ("sim", sim.astype(np.float32)))}
+    sums = {n: pa.array(np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)) for n, v in more.items()}
+    return pa.table({"key": pa.array(key[first].astype(np.int64)), **lists, **sums})
 
 
-def draws_of(n: int, leaf: int) -> int:
-    """Draws of directions: one where a leaf holds everything, and more the more often the nodes are halved."""
-    depth = halvings(n, leaf)
-    return max(DRAWS, 1 + 3 * depth) if depth else 1
+def _nearest(key: np.ndarray, nbr: np.ndarray, sim: np.ndarray, keep: int, old: np.ndarray | None = None) -> pa.Table:
+    """Entries as lists: each neighbour once, the nearest `keep` of each key, ties to the smaller number; with `fresh`, how many of them no old entry had."""
+    order = np.lexsort((-sim, nbr, key))
+    key, nbr, sim = key[order], nbr[order], sim[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (nbr[1:] != nbr[:-1])
+    first = np.flatnonzero(new)
+    was = np.logical_or.reduceat(old[order], first) if old is not None and len(first) else np.zeros(len(first), dtype=bool)
+    key, nbr, sim = key[first], nbr[first], sim[first]
+    order = np.lexsort((nbr, -sim, key))
+    key, nbr, sim, was = key[order], nbr[order], sim[order], was[order]
+    head = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1)) if len(key) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(key)) - np.repeat(head, np.diff(np.append(head, len(key))))
+    few = nth < keep
+    more = {} if old is None else {"fresh": ~was[few]}
+    return _list_rows(key[few], nbr[few], sim[few], **more)
 
 
-def leaves(nodes: DataFrame, n: int, dim: int, draws: int, leaf: int, seed: int = 3) -> DataFrame:
-    """(draw, code, id): each node's leaf in each draw. Whatever lies close together is halved like the rest, so no leaf stays crowded."""
-    depth = halvings(n, leaf) + 2  # medians are approximate
-    ways = np.random.default_rng(seed).standard_normal((draws, dim, depth)).astype(np.float32)
+def merged(lists: DataFrame, keep: int) -> DataFrame:
+    """One list per key, the `keep` nearest of all its rows (LIST and `old`, whether a row is what the key had before), and `fresh`. A key has a bounded number of rows."""
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for b in batches:
-            x = _vectors(b["x"]) if len(b) else np.zeros((0, dim), dtype=np.float32)
-            for d in range(draws):
-                yield pd.DataFrame({"draw": np.int32(d), "code": np.int64(1), "id": b["id"], "along": list(x @ ways[d])})
-
-    rows = cut(nodes.mapInPandas(project, "draw int, code long, id long, along array<float>"))
-    for level in range(depth):
-        at = F.col("along")[level]
-        crowded = rows.groupBy("draw", "code").agg(F.count("*").alias("size"), F.percentile_approx(at, 0.5).alias("mid")).where(F.col("size") > leaf)
-        crowded = cut(crowded.select("draw", "code", "mid"))
-        if crowded.isEmpty():
-            break
-        upper = F.when(at == F.col("mid"), F.pmod(F.xxhash64("draw", "id", F.lit(level)), F.lit(2)) == 1).otherwise(at > F.col("mid"))
-        code = F.when(F.col("mid").isNull(), F.col("code")).otherwise(F.col("code") * 2 + upper.cast("long"))
-        rows = cut(rows.join(crowded, ["draw", "code"], "left").select("draw", code.alias("code"), "id", "along"))
-    return rows.select("draw", "code", "id")
-
-
-def leaf_lists(nodes: DataFrame, n: int, dim: int, keep: int, draws: int | None = None, leaf: int | None = None, seed: int = 3) -> DataFrame:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = _numbers(t, "key")
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
+            held = t.slice(whole)
+            if whole:
+                yield from settle(t.slice(0, whole))
+        if held is not None and len(held):
+            yield from settle(held)
+
+    def settle(t: pa.Table) -> list[pa.RecordBatch]:
+        t = t.combine_chunks()
+        row, nbr = _lists(t, "nbr")
+        return _nearest(_numbers(t, "key")[row], nbr, _lists(t, "sim")[1], keep, _numbers(t, "old")[row].astype(bool)).to_batches()
+
+    rows = lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, LIST + ", fresh long")
+
+
+class Planes:
+    """Random directions, one a draw and level, and where each halves the sample's part that the levels above it leave."""
+
+    def __init__(self, sample: np.ndarray, draws: int, depth: int, seed: int = 3):
+        rng = np.random.default_rng(seed)
+        self.depth = depth
+        self.ways = rng.standard_normal((draws, sample.shape[1], depth)).astype(np.float32)
+        self.cuts = np.zeros((draws, 1 << depth), dtype=np.float32)
+        for d in range(draws):
+            along, code = sample @ self.ways[d], np.ones(len(sample), dtype=np.int64)
+            for level in range(depth):
+                order = np.lexsort((along[:, level], code))
+                ends = np.searchsorted(code[order], np.arange(1 << level, (2 << level) + 1))
+                for c in range(1 << level):
+                    a, b = ends[c], ends[c + 1]
+                    if b > a:
+                        self.cuts[d, (1 << level) + c] = along[order[(a + b) // 2], level]
+                code = code * 2 + (along[:, level] >= self.cuts[d, code])
+
+    def buckets(self, x: np.ndarray, draw: int) -> np.ndarray:
+        code, along = np.ones(len(x), dtype=np.int64), x @ self.ways[draw]
+        for level in range(self.depth):
+            code = code * 2 + (along[:, level] >= self.cuts[draw, code])
+        return code - (1 << self.depth)
+
+
+def bucket_depth(n: int, dim: int, sample: int, leaf: int) -> int:
+    """How often the table is halved until a bucket has the size wanted; 16 rows of the sample a bucket at least."""
+    size = max(leaf, min(BUCKET, BUCKET_NUMBERS // max(dim, 1)))
+    return int(max(0, min(np.ceil(np.log2(max(n, 1) / size)), np.floor(np.log2(max(sample, 16) / 16)))))
+
+
+def halved(x: np.ndarray, leaf: int, seed: int) -> list[np.ndarray]:
+    """Rows dealt out to leaves of `leaf` rows at most, by halving at the median along random directions: however close rows lie, no leaf stays crowded."""
+    rng = np.random.default_rng(seed)
+    parts = [np.arange(len(x))]
+    while len(parts[0]) > leaf:
+        way = rng.standard_normal(x.shape[1]).astype(np.float32)
+        parts = [h for p in parts for h in np.array_split(p[np.argsort(x[p] @ way, kind="stable")], 2)]
+    return parts
+
+
+def numbered(nodes: DataFrame, planes: Planes, dim: int) -> DataFrame:
+    """nodes (v, copies) with x, the packed vector, bucket, that of the first draw, and key, a number that begins with it."""
+
+    @F.pandas_udf("x binary, bucket long")
+    def pack(v: pd.Series) -> pd.DataFrame:
+        x = matrix(v, dim)
+        return pd.DataFrame({"x": _packed(x), "bucket": planes.buckets(x.astype(np.float32), 0)})
+
+    rows = cut(nodes.select("v", "copies", pack("v").alias("p")).select("v", "copies", "p.*"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("copies", "v"))
+    return rows.withColumn("key", F.shiftleft("bucket", PLACE) + place)
+
+
+def leaf_lists(nodes: DataFrame, planes: Planes, keep: int, draws: int, leaf: int) -> DataFrame:
     """First lists (LIST), one per node and draw."""
-    leaf = leaf or LEAF
-    dealt = leaves(nodes, n, dim, draws or draws_of(n, leaf), leaf, seed).join(nodes, "id")
 
-    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in grouped(batches, ["draw", "code"]):
-            ids, x = g["id"].to_numpy(), _vectors(g["x"])
-            for a in range(0, len(ids), 512):
-                s = x[a : a + 512] @ x.T
-                s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-                top = _best(s, min(keep, len(ids) - 1))
-                yield pd.DataFrame({"id": ids[a : a + len(s)], "nbr": list(ids[top]), "sim": list(np.take_along_axis(s, top, 1))})
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = _vectors(b)
+                for d in range(draws):
+                    yield pa.RecordBatch.from_pydict({"draw": pa.array(np.full(len(x), d, dtype=np.int32)), "bucket": pa.array(planes.buckets(x, d)), "key": b.column("key"), "x": b.column("x")})
+
+    def compare(t: pa.Table) -> pa.Table:
+        key, x = _numbers(t, "key"), _vectors(t)
+        order = np.argsort(key)  # the same leaves whatever order rows come in
+        key, x = key[order], x[order]
+        out = []
+        for part in halved(x, leaf, int(_numbers(t, "draw")[0]) * 7919 + int(_numbers(t, "bucket")[0])):
+            if len(part) < 2:
+                continue
+            s = x[part] @ x[part].T
+            np.fill_diagonal(s, -np.inf)
+            k = min(keep, len(part) - 1)
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            out.append((np.repeat(key[part], k), key[part][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+        if not out:
+            return _list_rows(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)))
+        return _list_rows(*(np.concatenate(c) for c in zip(*out)))
+
+    dealt = nodes.select("key", "x").mapInArrow(deal, "draw int, bucket long, key long, x binary")
+    return dealt.groupBy("draw", "bucket").applyInArrow(compare, LIST)
+
 
-    by = ["draw", "code"]
-    return dealt.select(*by, "id", "x").repartition(partitions(nodes.sparkSession), *by).sortWithinPartitions(*by).mapInPandas(lists, LIST)
+def _some(names: Column, key: Column, take: int, seed: int) -> Column:
+    """`take` of an array of node numbers, others by another seed."""
+    drawn = F.array_sort(F.transform(names, lambda v: F.struct(F.xxhash64(F.lit(seed), key, v).alias("h"), v.alias("v"))))
+    return F.transform(F.slice(drawn, 1, take), lambda s: s["v"])
 
 
 def reverse(graph: DataFrame, take: int, of: int, seed: int = 0) -> DataFrame:
-    """(u, v): for each node u, `take` of the nodes v that name it among their first `of`; others by another seed."""
-    named = graph.select(F.explode(F.slice("nbr", 1, of)).alias("u"), F.col("id").alias("v"))
-    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(seed)))
+    """(u, v): for each node u, `take` of the nodes v that have it among `of` of their neighbours."""
+    named = graph.select(F.explode(_some(F.col("nbr"), F.col("key"), of, seed)).alias("u"), F.col("key").alias("v"))
+    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(seed)))  # limited before the shuffle as well
     return named.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= take).select("u", "v")
 
 
 def descend(graph: DataFrame, nodes: DataFrame, keep: int, meet: int, seed: int = 0) -> DataFrame:
-    """One round: whoever meets at a node and is nearer than the last of its own list joins that list."""
-    forward = graph.select(F.col("id").alias("u"), F.explode(F.slice("nbr", 1, meet)).alias("v"))
-    there = forward.unionAll(reverse(graph, meet, meet, seed)).distinct()
-    own = nodes.join(graph.select("id", F.when(F.size("nbr") >= keep, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("last")), "id")
-    guests = there.join(own.withColumnRenamed("id", "v"), "v").repartition(partitions(graph.sparkSession), "u").sortWithinPartitions("u")
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        for g in grouped(batches, ["u"]):
-            v, x, last = g["v"].to_numpy(), _vectors(g["x"]), g["last"].to_numpy()
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            top = _best(s, min(6, len(v)))
-            near = np.take_along_axis(s, top, 1)
-            good = near > last[:, None]
-            out += [(v[i], v[top[i, good[i]]], near[i, good[i]]) for i in np.flatnonzero(good.any(axis=1))]
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["id", "nbr", "sim"])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["id", "nbr", "sim"])
-
-    return merged(graph.unionAll(guests.select("u", "v", "x", "last").mapInPandas(learn, LIST)), keep)
-
-
-def neighbour_graph(nodes: DataFrame, n: int, dim: int, keep: int = KEEP, meet: int = MEET) -> DataFrame:
-    """Lists of all nodes, brought together until a round changes hardly anything. Lists only get nearer, so it ends."""
-    graph = cut(merged(leaf_lists(nodes, n, dim, keep), keep))
+    """One round: whoever meets at a node and is nearer than the last of its own list joins that list.
+
+    A guest's vector goes once to each bucket in which it meets others."""
+    forward = graph.select(F.col("key").alias("u"), F.explode(_some(F.col("nbr"), F.col("key"), meet, 2 * seed)).alias("v"))
+    there = forward.unionAll(reverse(graph, meet, meet, 2 * seed + 1))
+    hosts = there.groupBy(F.shiftright("u", PLACE).alias("bucket"), F.col("v").alias("key")).agg(F.collect_set("u").alias("at"))
+    last = F.when(F.size("nbr") >= keep, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+    guests = hosts.join(nodes.select("key", "x").join(graph.select("key", last.alias("last")), "key"), "key")
+
+    def learn(t: pa.Table) -> pa.Table:
+        key, x, last = _numbers(t, "key"), _vectors(t), _numbers(t, "last")
+        guest, host = _lists(t, "at")
+        order = np.lexsort((key[guest], host))
+        guest, host = guest[order], host[order]
+        first = np.flatnonzero(np.concatenate(([True], host[1:] != host[:-1])))
+        size = np.diff(np.append(first, len(host)))
+        found = []
+        together = max(1, (1 << 22) // (int(size.max()) * max(x.shape[1], int(size.max()))))  # a table of products stays under 16 MB
+        for a in range(0, len(first), together):
+            f, s = first[a : a + together], size[a : a + together]
+            place = np.arange(int(s.max()))
+            there = place < s[:, None]
+            at = guest[np.minimum(f[:, None] + place, len(guest) - 1)]
+            who = x[at]
+            near = who @ who.transpose(0, 2, 1)
+            good = (near > last[at][:, :, None]) & there[:, :, None] & there[:, None, :] & (place[:, None] != place)
+            h, i, j = np.nonzero(good)
+            found.append((key[at[h, i]], key[at[h, j]], near[h, i, j]))
+        return _nearest(*(np.concatenate(c) for c in zip(*found)), keep)
+
+    learned = guests.groupBy("bucket").applyInArrow(learn, LIST)
+    return merged(graph.select("key", "nbr", "sim", F.lit(True).alias("old")).unionAll(learned.withColumn("old", F.lit(False))), keep)
+
+
+def neighbour_graph(nodes: DataFrame, planes: Planes, n: int, keep: int, meet: int, draws: int, leaf: int) -> DataFrame:
+    """Lists of all nodes, brought together until a round changes few entries. Lists only get nearer, so it ends."""
+    graph = cut(merged(leaf_lists(nodes, planes, keep, draws, leaf).withColumn("old", F.lit(False)), keep).drop("fresh"))
     seed, new = 0, n * keep
-    while new > SETTLED * n * keep:
+    while new > SETTLED * n * min(keep, max(n - 1, 1)):
         later = cut(descend(graph, nodes, keep, meet, seed))
-        both = later.select("id", "nbr").join(graph.select("id", F.col("nbr").alias("old")), "id")
-        new = both.agg(F.coalesce(F.sum(F.size(F.array_except("nbr", "old"))), F.lit(0))).first()[0]
-        graph, seed = later, seed + 1
+        new = later.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
+        graph, seed = later.drop("fresh"), seed + 1
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int = OPEN, held: int = HELD) -> DataFrame:
-    """(id, nbr, sim) with up to `held` nodes for each query node (queries: id), by greedy search from its own list until
-    every node it holds has been opened."""
-    links = cut(graph.select("id", "nbr").unionAll(reverse(graph, KEEP, KEEP).groupBy(F.col("u").alias("id")).agg(F.collect_list("v").alias("nbr"))).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("to")))
-    state = graph.join(queries.select("id"), "id").withColumn("opened", F.array().cast("array<long>"))
-    xq = nodes.select("id", F.col("x").alias("xq"))
-    while True:
-        state = cut(state.withColumn("front", F.slice(F.array_except("nbr", "opened"), 1, open_)))
-        if state.where(F.size("front") > 0).isEmpty():
-            return state.select("id", "nbr", "sim")
-        met = state.select("id", F.explode("front").alias("f")).join(links.withColumnRenamed("id", "f"), "f").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
-        new = met.join(state.select("id", "nbr"), "id").select("id", F.explode(F.array_except("to", "nbr")).alias("c")).where("c <> id")
-        pairs = new.join(nodes.select(F.col("id").alias("c"), "x"), "c").join(xq, "id")
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int, held: int) -> DataFrame:
+    """LIST with up to `held` nodes for each query node (queries: key), by greedy search from its own list until every
+    node it holds has been opened."""
+    back = reverse(graph, KEEP, KEEP).groupBy(F.col("u").alias("key")).agg(F.collect_list("v").alias("nbr"))
+    links = graph.select("key", "nbr").unionAll(back).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("to"))
+    links = cut(links.withColumnRenamed("key", "f"))
+    xq = cut(nodes.select("key", "x").join(queries, "key"))
+    none = F.array().cast("array<long>")
+    state = cut(graph.select("key", "nbr", "sim").join(queries, "key").withColumn("opened", none))
 
-        @F.pandas_udf("float")
-        def product(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(np.einsum("ij,ij->i", _vectors(a), _vectors(b)) if len(a) else np.zeros(0, dtype=np.float32))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per query and bucket that it has candidates in."""
+        for b in batches:
+            row, c = _lists(b, "to")
+            order = np.lexsort((c, row))
+            row, c = row[order], c[order]
+            bucket = c >> PLACE
+            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])))) if len(c) else np.zeros(0, dtype=np.int64)
+            at = pa.array(row[first])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(c)).astype(np.int32)), pa.array(c))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first]), "key": b.column("key").take(at), "x": b.column("x").take(at), "last": b.column("last").take(at), "to": lists})
+
+    def score(asked: pa.Table, there: pa.Table) -> pa.Table:
+        out = []
+        if len(asked):
+            key, x = _numbers(there, "key"), _vectors(there)
+            order = np.argsort(key)
+            key, x = key[order], x[order]
+            ask, last, q = _numbers(asked, "key"), _numbers(asked, "last"), _vectors(asked)
+            row, c = _lists(asked, "to")
+            for a in range(0, len(c), 100_000):
+                r, k = row[a : a + 100_000], c[a : a + 100_000]
+                s = np.einsum("ij,ij->i", q[r], x[np.searchsorted(key, k)])
+                good = s > last[r]
+                out.append((ask[r[good]], k[good], s[good]))
+        if not out:
+            return _list_rows(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)))
+        return _nearest(*(np.concatenate(c) for c in zip(*out)), held)
 
-        scored = pairs.select("id", "c", product("xq", "x").alias("s"))
-        best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.col("s").desc(), "c"))).where(F.col("nth") <= held).groupBy("id").agg(F.collect_list("c").alias("nbr"), F.collect_list("s").alias("sim"))
-        lists = merged(state.select("id", "nbr", "sim").unionAll(best), held)
-        state = lists.join(state.select("id", F.concat("opened", "front").alias("opened")), "id")
+    while True:
+        fronts = cut(state.withColumn("front", F.slice(F.array_except("nbr", "opened"), 1, open_)))
+        if fronts.where(F.size("front") > 0).isEmpty():
+            return fronts.select("key", "nbr", "sim")
+        met = spread_join(fronts.select("key", F.explode("front").alias("f")), links, ["f"])
+        last = F.when(F.size("nbr") >= held, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
+        mine = fronts.join(xq, "key").select("key", "x", "nbr", last.alias("last"))
+        new = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")).join(mine, "key")
+        asked = new.select("key", "x", "last", F.array_except(F.array_except("to", "nbr"), F.array("key")).alias("to"))
+        dealt = asked.mapInArrow(deal, "bucket long, key long, x binary, last float, to array<long>")
+        scored = dealt.groupBy("bucket").cogroup(nodes.select("bucket", "key", "x").groupBy("bucket")).applyInArrow(score, LIST)
+        lists = merged(fronts.select("key", "nbr", "sim", F.lit(True).alias("old")).unionAll(scored.withColumn("old", F.lit(False))), held)
+        state = lists.select("key", "nbr", "sim").join(fronts.select("key", F.concat("opened", "front").alias("opened")), "key")
 
 
 def _inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)).cast("double") * F.coalesce(y, F.lit(0.0)).cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", leaf: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row of `is_query` (a condition on the id column named id), nearest first, ties to the smaller id.
 
-    Vectors that are null, empty, zero or hold a null or non-finite number take no part. Vectors of different lengths are
-    compared as if the shorter went on with zeros. Fewer than k other rows give fewer results. Ids are taken as unique;
-    rows that repeat an id with the same vector count once."""
-    spark = vectors.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > VECTOR_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(VECTOR_BATCH_ROWS))
+    Vectors that are null, empty, zero or hold a null or non-finite number take no part, nor do rows without an id.
+    Vectors of different lengths are compared as if the shorter went on with zeros. Fewer than k other rows give fewer
+    results. Rows that repeat an id with the same vector count once; an id with several vectors stands for as many
+    rows and queries, which don't find each other. Other columns aren't read."""
+    bounded_batches(vectors.sparkSession)
+    leaf = leaf or LEAF
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where(usable("v") & F.col("id").isNotNull())
     # A node's k + 1 smallest ids are all that can be among anyone's k nearest of its copies.
-    few = rows.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
-    nodes = cut(few.groupBy("v").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("copies")).select(F.col("copies")[0].alias("id"), "v", "copies"))
+    few = rows.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
+    nodes = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("copies")))
     n, dim = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
-    asking = cut(rows.where(is_query).select(F.col("id").alias("query_id"), "v").distinct().join(nodes.select("id", "v"), "v").select("query_id", "id"))
-    packed = cut(_nodes(nodes.select("id", "v"), dim or 1))
-    graph = neighbour_graph(packed, n, dim or 1)
-    found = search(graph, packed, asking.select("id").distinct(), held=max(HELD, 2 * k))
-    pairs = found.select("id", F.explode("nbr").alias("c")).unionAll(asking.select("id", F.col("id").alias("c")).distinct())
-    of = lambda name: nodes.select(F.col("id").alias(name), F.col("v").alias(f"v_{name}"))
-    exact = pairs.distinct().join(of("c"), "c").join(of("id"), "id").select("id", "c", _inner(F.col("v_id"), F.col("v_c")).alias("score"))
-    each = exact.join(nodes.select(F.col("id").alias("c"), "copies"), "c").select("id", "score", F.explode("copies").alias("vec_id"))
-    order = [F.col("score").desc(), F.col("vec_id").asc()]
-    top = each.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("nth") <= k + 1)
-    mine = asking.join(top, "id").where("vec_id <> query_id")
-    return mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dim = dim or 1
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))
+    cell = F.pmod(F.xxhash64(F.lit("planes"), "v"), F.lit(1 << 30))
+    drawn = nodes.where(cell <= int((1 << 30) * min(1.0, most / max(n, 1)))).limit(most).select("v").toPandas()["v"]
+    sample = matrix(drawn, dim).astype(np.float32) if len(drawn) else np.zeros((1, dim), dtype=np.float32)
+    planes = Planes(sample, DRAWS, bucket_depth(n, dim, len(drawn), leaf))
+    full = cut(numbered(nodes, planes, dim))
+    asking = cut(spread_join(cut(rows.where(is_query).select(F.col("id").alias("query_id"), "v").distinct()), full.select("v", "key"), ["v"]).select("query_id", "key"))
+    packed = full.select("key", "bucket", "x")
+    graph = neighbour_graph(packed, planes, n, KEEP, MEET, DRAWS, leaf)
+    held = max(HELD, 2 * k)
+    found = search(graph, packed, asking.select("key").distinct(), OPEN, held)
+    near = F.slice("nbr", 1, 2 * k + 24)  # those whose order single steps of 16 bits could change
+    pairs = found.select("key", F.explode(near).alias("c")).unionAll(asking.select("key", F.col("key").alias("c")).distinct())
+    exact = pairs.join(full.select(F.col("key").alias("c"), F.col("v").alias("v_c"), "copies"), "c").join(full.select("key", "v"), "key")
+    each = exact.select("key", _inner(F.col("v"), F.col("v_c")).alias("score"), F.explode("copies").alias("vec_id"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("vec_id").asc()))
+    top = each.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("top"))
+    mine = spread_join(asking, cut(top), ["key"])
+    others = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
+    ranked = mine.select("query_id", F.posexplode(others).alias("at", "t"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "t.vec_id", "t.score")

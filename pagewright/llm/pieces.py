@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe_dp
-from pagewright.llm.common import buffered, text_batches
+from pagewright.llm.common import bounded_batches, buffered
 
 BLANK = "▁"
 CACHE_WORDS = 600_000
@@ -126,7 +126,7 @@ def encode_pieces(docs: DataFrame, path: str, text_column: str = "text") -> Data
 
     Null texts count as empty: no ids, round_trip true. Texts that hold U+2581 come back with blanks there, as with the
     library; their round_trip is false. Columns of these names in docs are replaced; repeated rows are coded each."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("piece_ids array<int>, n_pieces int, round_trip boolean")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_batches
+from pagewright.llm.common import bounded_batches
 
 
 @dataclass(frozen=True)
@@ -233,7 +233,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column:
     """docs with a column `secret_spans`: array of (kind, start, end). Null texts are empty and hold none.
 
     Every row is scanned whole, repeated rows each. A column of that name in docs is replaced; others pass through."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
     def spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -246,7 +246,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column:
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with the text of every span replaced by `mark`; spans that touch or overlap become one mark. Null texts stay null."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def clean(s: Scanner, t: str) -> str:
         found = s.scan(t)

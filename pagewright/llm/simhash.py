@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, grouped, partitions, text_batches
+from pagewright.llm.common import bounded_batches, cut, grouped, partitions, spread_join
 from pagewright.llm.components import components, forest
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -44,14 +44,17 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp) with the fingerprint as a signed long. Null texts count as empty."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_column).alias("id"), fingerprint_udf()(F.col(text_column)).alias("fp"))
 
+
+def fingerprint_udf():
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t if isinstance(t, str) else None) for t in batch], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_column).alias("id"), fp(F.col(text_column)).alias("fp"))
+    return fp
 
 
 def block_count(n: int, max_bits: int = MAX_BITS) -> int:
@@ -118,11 +121,35 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id, fp (signed long), component_id: the smallest id reachable by links of fingerprints.
 
-    Null and empty texts have fingerprint 0 and link like any other; repeated ids and rows come out once each."""
+    Null and empty texts have fingerprint 0 and link like any other; repeated ids and rows come out once each. Rows
+    without an id link too; a group of which no row has an id has a null component_id. Other columns aren't read."""
     rows = cut(fingerprints(docs, id_column, text_column))
     first = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    roots = components(links(first.select("fp"), max_bits))
-    of = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of = cut(with_roots(first, max_bits))
     least = of.groupBy("root").agg(F.min("id").alias("component_id"))
-    group = of.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(group, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    group = cut(spread_join(of.select("fp", "root"), least, ["root"]).select("fp", "component_id"))
+    return spread_join(rows, group, ["fp"]).select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def with_roots(first: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """A table of distinct fingerprints (column fp) with root, the smallest fingerprint of each one's component."""
+    roots = components(links(first.select("fp"), max_bits))
+    return first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def group_representatives(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_column: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The given columns of one row of docs for each group of fingerprints.
+
+    It is the row with the smallest id; rows without an id come after all others. Rows of one id that differ in other
+    columns are told apart by a 128-bit hash of all given columns, and rows that are equal in all of them are one. Only
+    hashes, ids and fingerprints go through the grouping; texts are shuffled once, to meet the rows that stay."""
+    content = [F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns]), *columns]
+    keyed = docs.select(*columns, F.xxhash64(F.lit(1), *content).alias("_k1"), F.xxhash64(F.lit(2), *content).alias("_k2"))
+    bounded_batches(docs.sparkSession)
+    fp = fingerprint_udf()
+    rows = cut(keyed.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_k1", "_k2").alias("row"), fp(F.col(text_column)).alias("fp")))
+    first = cut(rows.groupBy("fp").agg(F.min("row").alias("row")))
+    kept = with_roots(first, max_bits).groupBy("root").agg(F.min("row").alias("row")).select("row._k1", "row._k2")
+    found = keyed.join(kept, ["_k1", "_k2"], "left_semi")
+    once = Window.partitionBy("_k1", "_k2").orderBy(F.lit(1))  # as the join has dealt them
+    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*columns)

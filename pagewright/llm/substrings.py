@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.automaton import SuffixAutomaton
-from pagewright.llm.common import buffered, cut, grouped, partitions, text_batches
+from pagewright.llm.common import bounded_batches, buffered, cut, grouped, partitions
 
 WINDOW, GRAM = 20, 8
 #: Runs of one anchor that one automaton holds at most (about 26 words each).
@@ -191,7 +191,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Null texts have no words. Rows of one id are told apart by their text's order and count as documents one after
     another; a null id comes before all others. Texts shorter than a window lose nothing."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_column).alias("text"))
     if rows.groupBy("doc").count().where("count > 1").isEmpty():

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagewright.llm import bpe_dp
-from pagewright.llm.common import text_batches
+from pagewright.llm.common import bounded_batches
 
 # The published split rule of byte-level BPE tokenizers of this family.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -235,7 +235,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str =
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit, fit_chars (code points of the longest whole-word prefix within the limit).
 
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and ids are counted each. Other columns aren't read."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_batches
+from pagewright.llm.common import bounded_batches
 
 #: Bound on labelled rows that training reads: the sample's texts and features fit one task (about 0.2 GB).
 SAMPLE_ROWS = 15_000
@@ -104,14 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         at, w = train(all_rows["text"].tolist(), all_rows["label"].tolist())
         yield pd.DataFrame({"bucket": at, "weight": w})
 
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     found = sample.repartition(1).mapInPandas(run, "bucket int, weight double").toPandas()
     return found["bucket"].to_numpy(), found["weight"].to_numpy()
 
 
 def score_toxicity(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text_column: str = "text", out_column: str = "score") -> DataFrame:
     """docs with the probability of toxicity of each row; null and empty texts get the bias's. A column of that name is replaced."""
-    text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
 
     @F.pandas_udf("double")

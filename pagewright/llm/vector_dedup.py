@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, grouped, partitions
+from pagewright.llm.common import bounded_batches, cut, grouped, partitions, spread_join
 from pagewright.llm.components import components
 
 #: Vectors that the centres are fitted on, at most (on the driver: 16,000 of 1,000 numbers are 128 MB).
@@ -26,8 +26,6 @@ MAX_CELLS = 4096
 CELL_ROOT = 16
 #: Home vectors, and guests, of one block.
 BLOCK, GUESTS = 4096, 16384
-#: Rows of an Arrow batch: 2,000 vectors of 1,000 numbers are 8 MB.
-VECTOR_BATCH_ROWS = 2000
 
 
 def usable(embedding: str | Column) -> Column:
@@ -103,19 +101,21 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec
     """One row per row of vectors: id, n_links (other rows linked directly), component_id (smallest id reachable), kept (id = component_id).
 
     Vectors that are null, empty, zero or hold a null or non-finite number link with nothing. Vectors of different
-    lengths are compared as if the shorter went on with zeros. Rows that repeat an id are counted as rows."""
+    lengths are compared as if the shorter went on with zeros. Rows that repeat an id are counted as rows, and those of
+    the smallest id are all kept. Rows without an id link and are counted like others, but give no component its id: they
+    are kept only in a component without any id, whose component_id is null. Other columns aren't read."""
     spark = vectors.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > VECTOR_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(VECTOR_BATCH_ROWS))
+    bounded_batches(spark)
     all_rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v")).withColumn("v", F.when(usable("v"), F.col("v")))
-    good = cut(all_rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    # Distinct vectors have a number of their own, stable once it is written: ids may be null, repeated or no numbers.
+    good = cut(all_rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()))
     m, dim = good.agg(F.count("*"), F.max(F.size("v"))).first()
     lone = lambda df: df.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if not m:
         return lone(all_rows)
     k = int(min(MAX_CELLS, max(1, round(np.sqrt(m) / CELL_ROOT))))
     share = min(1.0, SAMPLE_ROWS * 0.95 / m)
-    picked = good.where(F.pmod(F.xxhash64(F.lit("centres"), "id"), F.lit(1 << 20)) < int((1 << 20) * share) + 1).orderBy("id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+    picked = good.where(F.pmod(F.xxhash64(F.lit("centres"), "v"), F.lit(1 << 20)) < int((1 << 20) * share) + 1).orderBy("v").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
     sample = unit(matrix(picked, dim)) if len(picked) else np.eye(1, dim)
     k = min(k, len(sample))
     kind = np.dtype(np.float32 if good.schema["v"].dataType.elementType.simpleString() == "float" else np.float64)
@@ -142,7 +142,7 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec
                 continue
             x, draw = matrix(b["v"], dim), b["draw"].to_numpy()
             home, visits = cells.of(unit(x))
-            packed = pd.DataFrame({"home": home.astype(np.int32), "id": b["id"].to_numpy(), "draw": draw, "n": b["n"].to_numpy(), "visits": [m.tobytes() for m in np.packbits(visits, axis=1)], "x": [r.tobytes() for r in x.astype(kind)]})
+            packed = pd.DataFrame({"home": home.astype(np.int32), "key": b["key"].to_numpy(), "draw": draw, "n": b["n"].to_numpy(), "visits": [m.tobytes() for m in np.packbits(visits, axis=1)], "x": [r.tobytes() for r in x.astype(kind)]})
             h, g = blocks[home, 0], blocks[home, 1]
             row = np.repeat(np.arange(len(b)), h + g)
             other = np.arange(len(row)) - np.repeat(np.cumsum(h + g) - (h + g), h + g)
@@ -178,7 +178,7 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec
                 if not len(r):
                     continue
                 left, right = a.iloc[r], b.iloc[c]
-                ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+                ids_a, ids_b = left["key"].to_numpy(), right["key"].to_numpy()
                 hits = unit(x[r].astype(np.float64)) @ unit(y[c].astype(np.float64)).T >= cosine
                 if same:
                     hits &= ids_a[:, None] != ids_b[None, :]
@@ -196,14 +196,18 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_column: str = "vec
                     linked, component = linked[: len(ids_a)], component[: len(ids_a)]
                 else:
                     ids, add = np.concatenate((ids, ids_b)), np.concatenate((add, hits.T @ left["n"].to_numpy()))
-                yield pd.DataFrame({"id": ids[linked], "links": add[linked], "root": least[component[linked]]})
+                yield pd.DataFrame({"key": ids[linked], "links": add[linked], "root": least[component[linked]]})
 
-    dealt = good.select("id", "n", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("draw"))
-    rows = dealt.mapInPandas(deal, "cell int, lo int, hi int, own boolean, home int, id long, draw long, n long, visits binary, x binary")
+    dealt = good.select("key", "n", "v", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("draw"))
+    rows = dealt.mapInPandas(deal, "cell int, lo int, hi int, own boolean, home int, key long, draw long, n long, visits binary, x binary")
     by = ["cell", "lo", "hi"]
-    linked = cut(rows.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInPandas(compare, "id long, links long, root long"))
-    counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(linked.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    per = good.join(counts, "id", "left").join(roots, "id", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = all_rows.where("v is not null").join(per, "v").select(F.col("id").alias(id_column), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    return out.unionAll(lone(all_rows.where("v is null")))
+    linked = cut(rows.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInPandas(compare, "key long, links long, root long"))
+    counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
+    roots = components(linked.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
+    of = good.join(counts, "key", "left").join(roots, "key", "left")
+    of = cut(of.select("v", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")))
+    least = of.groupBy("root").agg(F.min("id").alias("component_id"))
+    per = cut(spread_join(of, least, ["root"]).select("v", "n_links", "component_id"))
+    out = spread_join(all_rows.where("v is not null"), per, ["v"])
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return out.select(F.col("id").alias(id_column), "n_links", "component_id", kept.alias("kept")).unionAll(lone(all_rows.where("v is null")))

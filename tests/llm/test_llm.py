@@ -300,38 +300,81 @@ def test_nearest(spark):
     assert neighbours.nearest(vectors_of(spark, rows).limit(0), F.col("id") == 0).count() == 0
 
 
+def recall_of(spark, x, every=20):
+    """Recall of each query against brute force, by similarity, so that ties don't matter."""
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = np.asarray(x, dtype=np.float32).astype(np.float64)
+    got = {}
+    for r in neighbours.nearest(rows, F.col("id") % every == 0).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    out = []
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        out.append(sum(v >= np.sort(s)[-20] - 1e-9 for v in got[q]) / 20)
+    return np.array(out)
+
+
 def test_recall_with_small_leaves(spark, monkeypatch):
-    """Leaves far smaller than the table: the rounds and the search have to find what the leaves didn't."""
-    monkeypatch.setattr(neighbours, "LEAF", 128)
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((1500, 12)).astype(np.float32)
-    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, embedding array<float>")
-    v = np.array([r.embedding for r in rows.orderBy("vec_id").collect()])
-    hit = 0
-    s = v[::20] @ v.T
-    s[np.arange(75), np.arange(0, 1500, 20)] = -9
-    for r in neighbours.nearest(rows, F.col("id") % 20 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect():
-        hit += len(set(np.argsort(-s[r.query_id // 20])[:20].tolist()) & set(r.ids))
-    assert hit >= 0.9 * 20 * 75
+    """Leaves far smaller than the table, and few nodes held: the rounds have to find what the leaves didn't, and without them recall falls."""
+    for name, value in (("LEAF", 24), ("BUCKET", 256), ("KEEP", 20), ("MEET", 10), ("OPEN", 20), ("HELD", 20), ("DRAWS", 2)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(5).standard_normal((3000, 20))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert recall_of(spark, x).mean() >= 0.9
+    monkeypatch.setattr(neighbours, "descend", lambda graph, nodes, keep, meet, seed: graph.withColumn("fresh", F.lit(0)))
+    assert recall_of(spark, x).mean() < 0.8
 
 
 def test_crowded_leaves_are_halved(spark, monkeypatch):
     """No leaf holds more than LEAF nodes, however close most vectors are, and recall holds among them and beside them."""
     monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "BUCKET", 256)
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1600, 16))
     x[:1200] = x[0] + 0.07 * x[:1200] * np.linalg.norm(x[0]) / 4
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    nodes = neighbours._nodes(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<float>"), 16)
-    dealt = neighbours.leaves(nodes, 1600, 16, 3, 64)
-    sizes = [r["count"] for r in dealt.groupBy("draw", "code").count().collect()]
-    assert sum(sizes) == 3 * 1600 and max(sizes) <= 64
-    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    s = x[::20].astype(np.float64) @ x.T.astype(np.float64)
-    s[np.arange(80), np.arange(0, 1600, 20)] = -9
-    got = {r.query_id: set(r.ids) for r in neighbours.nearest(rows, F.col("id") % 20 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()}
-    hits = [len(set(np.argsort(-s[q // 20])[:20].tolist()) & got[q]) for q in range(0, 1600, 20)]
-    assert np.mean(hits[:60]) >= 0.95 * 20 and np.mean(hits[60:]) >= 0.95 * 20
+    parts = neighbours.halved(x, 64, 1)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(1600)) and max(map(len, parts)) <= 64
+    planes = neighbours.Planes(x, 2, 3)
+    assert all(np.bincount(planes.buckets(x, d), minlength=8).min() >= 150 for d in range(2))
+    hits = recall_of(spark, x)
+    assert hits[:60].mean() >= 0.95 and hits[60:].mean() >= 0.95
+
+
+def test_packed_vectors():
+    x = np.random.default_rng(7).standard_normal((50, 9)) * 10.0 ** np.arange(-25, 25)[:, None]
+    back = neighbours._vectors(neighbours.pa.table({"x": neighbours.pa.array(neighbours._packed(x), neighbours.pa.binary())}))
+    assert (np.abs(back - x) <= 2e-5 * np.abs(x).max(axis=1, keepdims=True)).all()
+
+
+def test_ids_of_neighbours(spark):
+    """Repeated rows, rows without an id, copies, and columns whose names the operator uses itself."""
+    rows = [(1, [1.0, 0.0], 5, "x"), (1, [1.0, 0.0], 5, "x"), (None, [1.0, 0.0], 6, "y"), (2, [1.0, 0.0], 7, "z"), (20, [0.9, 0.1], 8, None), (0, [0.5, 0.5], 9, "k"), (2**60 + 1, [0.0, 1.0], 1, "v")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, key long, v string").withColumn("bucket", F.lit(1)).withColumn("id", F.lit("a")).withColumn("x", F.lit(0))
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [1, 2, 2**60 + 1, 20], 20: [1, 2, 0, 2**60 + 1]}
+
+
+def test_vector_ids(spark):
+    """Null, very large and repeated ids, and columns with clashing names: against brute force over rows."""
+    big = 2**60
+    rows = [(None, [1.0, 0.0]), (100, [2.0, 0.0]), (101, [0.0, 1.0]), (102, [0.0, 2.0]), (big + 1, [1.0, 1.0]), (big + 3, [1.0, 1.1]), (None, [-1.0, 0.0]), (None, [-2.0, 0.0]), (7, [0.0, -1.0]), (7, [0.0, -1.0]), (8, [0.0, -3.0]), (None, None)]
+    df = spark.createDataFrame([(i, v, 3, "k") for i, v in rows], "vec_id long, embedding array<float>, id int, key string").withColumn("n", F.lit(1)).withColumn("root", F.lit("r"))
+    x = np.array([v or [0.0, 0.0] for _, v in rows])
+    x = np.divide(x, np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9))
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = brute_groups(len(rows), near)
+    want = []
+    for k, (i, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[k] and rows[j][0] is not None]
+        least = min(ids, default=None)
+        want.append((i, int(near[k].sum()), least, i == least))
+    order = lambda r: [(x is None, x) for x in r]
+    assert sorted(map(tuple, vector_dedup.vector_groups(df).collect()), key=order) == sorted(want, key=order)
 
 
 # 6: preferences
