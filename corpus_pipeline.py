@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import shared_folder, table
+from pagewright.llm.common import remove, shared_folder, table
 from pagewright.llm.mixing import mix
 from pagewright.llm.pieces import encode_pieces
 from pagewright.llm.secrets import redact_secrets
-from pagewright.llm.simhash import simhash_groups
+from pagewright.llm.simhash import group_representatives
 from pagewright.llm.toxicity import THRESHOLD, fit, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,10 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows that repeat an id stay together, rows without an id stay."""
-    table_of = docs.select(*COLUMNS)
-    keep = simhash_groups(table_of).where("doc_id = component_id").select("doc_id").distinct()
-    return table_of.join(keep, "doc_id", "left_semi").unionAll(table_of.where("doc_id is null"))
+    """One row of each group: the one with the smallest id, without an id only if no row of its group has one."""
+    return group_representatives(docs.select(*COLUMNS), list(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Its folder stays, as they are read from it; the others go once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return docs
