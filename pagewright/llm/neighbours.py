@@ -32,9 +32,11 @@ KEEP, MEET = 40, 20
 #: Rounds end when no more than this share of the list entries is new.
 SETTLED = 0.03
 DRAWS, LEAF = 8, 256
-#: Nodes of a bucket, and numbers in a bucket's vectors, at most; the sample that planes are fitted on, in rows and numbers.
-BUCKET, BUCKET_NUMBERS, SAMPLE_ROWS, SAMPLE_NUMBERS = 4096, 1 << 19, 1 << 16, 1 << 24
-OPEN, HELD = 80, 120
+#: Nodes of a bucket, and numbers in a bucket's vectors, at most.
+BUCKET, BUCKET_NUMBERS = 4096, 1 << 19
+#: The sample that planes are fitted on: rows for each bucket, and rows and numbers at most.
+BUCKET_SAMPLE, SAMPLE_ROWS, SAMPLE_NUMBERS = 256, 1 << 16, 1 << 24
+OPEN, HELD = 120, 120
 #: Bits of a node's number within its bucket.
 PLACE = 32
 LIST = "key long, nbr array<long>, sim array<float>"
@@ -147,10 +149,11 @@ class Planes:
         return code - (1 << self.depth)
 
 
-def bucket_depth(n: int, dim: int, sample: int, leaf: int) -> int:
-    """How often the table is halved until a bucket has the size wanted; 16 rows of the sample a bucket at least."""
-    size = max(leaf, min(BUCKET, BUCKET_NUMBERS // max(dim, 1)))
-    return int(max(0, min(np.ceil(np.log2(max(n, 1) / size)), np.floor(np.log2(max(sample, 16) / 16)))))
+def bucket_depth(n: int, dim: int, leaf: int) -> int:
+    """How often the table is halved until a bucket has the size wanted; but the largest sample has to leave 16 rows a bucket."""
+    size = max(leaf, min(BUCKET, BUCKET_NUMBERS // dim))
+    most = min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim) // 16
+    return max(0, int(np.ceil(np.log2(min(max(n, 1) / size, max(most, 1))))))
 
 
 def halved(x: np.ndarray, leaf: int, seed: int) -> list[np.ndarray]:
@@ -309,7 +312,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int, h
         fronts = cut(state.withColumn("front", F.slice(F.array_except("nbr", "opened"), 1, open_)))
         if fronts.where(F.size("front") > 0).isEmpty():
             return fronts.select("key", "nbr", "sim")
-        met = spread_join(fronts.select("key", F.explode("front").alias("f")), links, ["f"])
+        met = fronts.select("key", F.explode("front").alias("f")).join(links, "f")  # a row of links is small, so a hot node's queries can be split at run time
         last = F.when(F.size("nbr") >= held, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
         mine = fronts.join(xq, "key").select("key", "x", "nbr", last.alias("last"))
         new = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")).join(mine, "key")
@@ -339,11 +342,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
     nodes = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("copies")))
     n, dim = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = dim or 1
-    most = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))
+    depth = bucket_depth(n, dim, leaf)
+    most = min(BUCKET_SAMPLE << depth, max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim)))
     cell = F.pmod(F.xxhash64(F.lit("planes"), "v"), F.lit(1 << 30))
     drawn = nodes.where(cell <= int((1 << 30) * min(1.0, most / max(n, 1)))).limit(most).select("v").toPandas()["v"]
     sample = matrix(drawn, dim).astype(np.float32) if len(drawn) else np.zeros((1, dim), dtype=np.float32)
-    planes = Planes(sample, DRAWS, bucket_depth(n, dim, len(drawn), leaf))
+    planes = Planes(sample, DRAWS, depth)
     full = cut(numbered(nodes, planes, dim))
     asking = cut(spread_join(cut(rows.where(is_query).select(F.col("id").alias("query_id"), "v").distinct()), full.select("v", "key"), ["v"]).select("query_id", "key"))
     packed = full.select("key", "bucket", "x")
