@@ -30,7 +30,7 @@ from pagewright.llm.vector_dedup import matrix, usable
 
 KEEP, MEET = 40, 20
 #: Rounds end when no more than this share of the list entries is new.
-SETTLED = 0.03
+SETTLED = 0.05
 DRAWS, LEAF = 8, 256
 #: Nodes of a bucket, and numbers in a bucket's vectors, at most.
 BUCKET, BUCKET_NUMBERS = 4096, 1 << 19
@@ -40,6 +40,7 @@ OPEN, HELD = 120, 120
 #: Bits of a node's number within its bucket.
 PLACE = 32
 LIST = "key long, nbr array<long>, sim array<float>"
+CARRIED = "x binary, turn long"
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -98,8 +99,12 @@ def _nearest(key: np.ndarray, nbr: np.ndarray, sim: np.ndarray, keep: int, old:
     return _list_rows(key[few], nbr[few], sim[few], **more)
 
 
-def merged(lists: DataFrame, keep: int) -> DataFrame:
-    """One list per key, the `keep` nearest of all its rows (LIST and `old`, whether a row is what the key had before), and `fresh`. A key has a bounded number of rows."""
+def merged(lists: DataFrame, keep: int, carried: str = "") -> DataFrame:
+    """One list per key, the `keep` nearest of all its rows, and `fresh`, how many of them are new. A key has a bounded number of rows.
+
+    lists: LIST, `old` (whether a row is what the key had before; one such row a key) and the carried columns (as in a
+    schema), which are handed on from the old row."""
+    names = [c.split()[0] for c in carried.split(", ") if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -116,11 +121,26 @@ def merged(lists: DataFrame, keep: int) -> DataFrame:
 
     def settle(t: pa.Table) -> list[pa.RecordBatch]:
         t = t.combine_chunks()
-        row, nbr = _lists(t, "nbr")
-        return _nearest(_numbers(t, "key")[row], nbr, _lists(t, "sim")[1], keep, _numbers(t, "old")[row].astype(bool)).to_batches()
+        old = _numbers(t, "old").astype(bool)
+        (row, nbr), (_, sim), at = _lists(t, "nbr"), _lists(t, "sim"), np.flatnonzero(old)
+        key = _numbers(t, "key")
+        found = _nearest(key[row], nbr, sim, keep, old[row])
+        if names:  # a key may have no neighbour at all
+            place = np.searchsorted(_numbers(found, "key"), key[at])
+            given = np.isin(key[at], _numbers(found, "key"))
+            found = pa.table({"key": pa.array(key[at]), **{n: _either(found, n, place, given) for n in found.column_names[1:]}})
+            found = pa.table({**{n: found.column(n) for n in found.column_names}, **{n: t.column(n).take(pa.array(at)) for n in names}})
+        return found.combine_chunks().to_batches()
 
     rows = lists.repartition(partitions(lists.sparkSession), "key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, LIST + ", fresh long")
+    return rows.mapInArrow(run, ", ".join([LIST, "fresh long", *([carried] if carried else [])]))
+
+
+def _either(t: pa.Table, name: str, place: np.ndarray, given: np.ndarray) -> pa.ChunkedArray:
+    """A column's values at the places, and empty or zero where none is given."""
+    c = t.column(name)
+    empty = pa.array([[]] if pa.types.is_list(c.type) else [0], type=c.type)
+    return pa.chunked_array([*c.chunks, empty]).take(pa.array(np.where(given, place, len(c))))
 
 
 class Planes:
@@ -210,28 +230,29 @@ def leaf_lists(nodes: DataFrame, planes: Planes, keep: int, draws: int, leaf: in
     return dealt.groupBy("draw", "bucket").applyInArrow(compare, LIST)
 
 
-def _some(names: Column, key: Column, take: int, seed: int) -> Column:
-    """`take` of an array of node numbers, others by another seed."""
-    drawn = F.array_sort(F.transform(names, lambda v: F.struct(F.xxhash64(F.lit(seed), key, v).alias("h"), v.alias("v"))))
+def _some(names: Column, key: Column, take: int, turn: Column) -> Column:
+    """`take` of an array of node numbers, others in another turn."""
+    drawn = F.array_sort(F.transform(names, lambda v: F.struct(F.xxhash64(turn, key, v).alias("h"), v.alias("v"))))
     return F.transform(F.slice(drawn, 1, take), lambda s: s["v"])
 
 
-def reverse(graph: DataFrame, take: int, of: int, seed: int = 0) -> DataFrame:
-    """(u, v): for each node u, `take` of the nodes v that have it among `of` of their neighbours."""
-    named = graph.select(F.explode(_some(F.col("nbr"), F.col("key"), of, seed)).alias("u"), F.col("key").alias("v"))
-    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(seed)))  # limited before the shuffle as well
+def reverse(graph: DataFrame, take: int, of: int, turn: Column) -> DataFrame:
+    """(u, v): for each node u, `take` of the nodes v that have it among `of` of their neighbours; others in another turn."""
+    named = graph.select(F.explode(_some(F.col("nbr"), F.col("key"), of, turn)).alias("u"), F.col("key").alias("v"), turn.alias("turn"))
+    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", "turn"))  # limited before the shuffle as well
     return named.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= take).select("u", "v")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, keep: int, meet: int, seed: int = 0) -> DataFrame:
+def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
     """One round: whoever meets at a node and is nearer than the last of its own list joins that list.
 
-    A guest's vector goes once to each bucket in which it meets others."""
-    forward = graph.select(F.col("key").alias("u"), F.explode(_some(F.col("nbr"), F.col("key"), meet, 2 * seed)).alias("v"))
-    there = forward.unionAll(reverse(graph, meet, meet, 2 * seed + 1))
+    graph: LIST, x and turn, the number of the round. A guest's vector goes once to each bucket in which it meets others."""
+    turn = F.col("turn") * 2  # a column, not a literal, so that a round's plan is compiled once
+    forward = graph.select(F.col("key").alias("u"), F.explode(_some(F.col("nbr"), F.col("key"), meet, turn)).alias("v"))
+    there = forward.unionAll(reverse(graph, meet, meet, turn + 1))
     hosts = there.groupBy(F.shiftright("u", PLACE).alias("bucket"), F.col("v").alias("key")).agg(F.collect_set("u").alias("at"))
     last = F.when(F.size("nbr") >= keep, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-    guests = hosts.join(nodes.select("key", "x").join(graph.select("key", last.alias("last")), "key"), "key")
+    guests = hosts.join(graph.select("key", "x", last.alias("last")), "key")
 
     def learn(t: pa.Table) -> pa.Table:
         key, x, last = _numbers(t, "key"), _vectors(t), _numbers(t, "last")
@@ -255,29 +276,28 @@ def descend(graph: DataFrame, nodes: DataFrame, keep: int, meet: int, seed: int
         return _nearest(*(np.concatenate(c) for c in zip(*found)), keep)
 
     learned = guests.groupBy("bucket").applyInArrow(learn, LIST)
-    return merged(graph.select("key", "nbr", "sim", F.lit(True).alias("old")).unionAll(learned.withColumn("old", F.lit(False))), keep)
+    before = graph.select("key", "nbr", "sim", F.lit(True).alias("old"), "x", (F.col("turn") + 1).alias("turn"))
+    return merged(before.unionByName(learned.withColumn("old", F.lit(False)), allowMissingColumns=True), keep, CARRIED)
 
 
 def neighbour_graph(nodes: DataFrame, planes: Planes, n: int, keep: int, meet: int, draws: int, leaf: int) -> DataFrame:
-    """Lists of all nodes, brought together until a round changes few entries. Lists only get nearer, so it ends."""
-    graph = cut(merged(leaf_lists(nodes, planes, keep, draws, leaf).withColumn("old", F.lit(False)), keep).drop("fresh"))
-    seed, new = 0, n * keep
+    """LIST and x of all nodes, brought together until a round changes few entries. Lists only get nearer, so it ends."""
+    none = nodes.select("key", F.array().cast("array<long>").alias("nbr"), F.array().cast("array<float>").alias("sim"), F.lit(True).alias("old"), "x", F.lit(0).cast("long").alias("turn"))
+    leaves = leaf_lists(nodes, planes, keep, draws, leaf).withColumn("old", F.lit(False))
+    graph, new = cut(merged(none.unionByName(leaves, allowMissingColumns=True), keep, CARRIED)), n * keep
     while new > SETTLED * n * min(keep, max(n - 1, 1)):
-        later = cut(descend(graph, nodes, keep, meet, seed))
-        new = later.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
-        graph, seed = later.drop("fresh"), seed + 1
+        graph = cut(descend(graph, keep, meet))
+        new = graph.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int, held: int) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, open_: int, held: int) -> DataFrame:
     """LIST with up to `held` nodes for each query node (queries: key), by greedy search from its own list until every
     node it holds has been opened."""
-    back = reverse(graph, KEEP, KEEP).groupBy(F.col("u").alias("key")).agg(F.collect_list("v").alias("nbr"))
+    back = reverse(graph, KEEP, KEEP, F.col("turn")).groupBy(F.col("u").alias("key")).agg(F.collect_list("v").alias("nbr"))
     links = graph.select("key", "nbr").unionAll(back).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("to"))
     links = cut(links.withColumnRenamed("key", "f"))
-    xq = cut(nodes.select("key", "x").join(queries, "key"))
-    none = F.array().cast("array<long>")
-    state = cut(graph.select("key", "nbr", "sim").join(queries, "key").withColumn("opened", none))
+    nodes = graph.select(F.shiftright("key", PLACE).alias("bucket"), "key", "x")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per query and bucket that it has candidates in."""
@@ -308,19 +328,20 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, open_: int, h
             return _list_rows(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.float32)))
         return _nearest(*(np.concatenate(c) for c in zip(*out)), held)
 
+    state = graph.select("key", "nbr", "sim", "x").join(queries, "key").withColumn("opened", F.array().cast("array<long>"))
     while True:
-        fronts = cut(state.withColumn("front", F.slice(F.array_except("nbr", "opened"), 1, open_)))
-        if fronts.where(F.size("front") > 0).isEmpty():
-            return fronts.select("key", "nbr", "sim")
-        met = fronts.select("key", F.explode("front").alias("f")).join(links, "f")  # a row of links is small, so a hot node's queries can be split at run time
+        front = F.slice(F.array_except("nbr", "opened"), 1, open_)
+        state = cut(state.select("key", "nbr", "sim", "x", "opened", front.alias("front")))
+        if state.where(F.size("front") > 0).isEmpty():
+            return state.select("key", "nbr", "sim")
+        met = state.select("key", F.explode("front").alias("f")).join(links, "f")  # a row of links is small, so a hot node's queries can be split at run time
         last = F.when(F.size("nbr") >= held, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-        mine = fronts.join(xq, "key").select("key", "x", "nbr", last.alias("last"))
-        new = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")).join(mine, "key")
+        new = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")).join(state.select("key", "x", "nbr", last.alias("last")), "key")
         asked = new.select("key", "x", "last", F.array_except(F.array_except("to", "nbr"), F.array("key")).alias("to"))
         dealt = asked.mapInArrow(deal, "bucket long, key long, x binary, last float, to array<long>")
-        scored = dealt.groupBy("bucket").cogroup(nodes.select("bucket", "key", "x").groupBy("bucket")).applyInArrow(score, LIST)
-        lists = merged(fronts.select("key", "nbr", "sim", F.lit(True).alias("old")).unionAll(scored.withColumn("old", F.lit(False))), held)
-        state = lists.select("key", "nbr", "sim").join(fronts.select("key", F.concat("opened", "front").alias("opened")), "key")
+        scored = dealt.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(score, LIST)
+        before = state.select("key", "nbr", "sim", F.lit(True).alias("old"), "x", F.concat("opened", "front").alias("opened"))
+        state = merged(before.unionByName(scored.withColumn("old", F.lit(False)), allowMissingColumns=True), held, "x binary, opened array<long>")
 
 
 def _inner(a: Column, b: Column) -> Column:
@@ -350,10 +371,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
     planes = Planes(sample, DRAWS, depth)
     full = cut(numbered(nodes, planes, dim))
     asking = cut(spread_join(cut(rows.where(is_query).select(F.col("id").alias("query_id"), "v").distinct()), full.select("v", "key"), ["v"]).select("query_id", "key"))
-    packed = full.select("key", "bucket", "x")
-    graph = neighbour_graph(packed, planes, n, KEEP, MEET, DRAWS, leaf)
+    graph = neighbour_graph(full.select("key", "x"), planes, n, KEEP, MEET, DRAWS, leaf)
     held = max(HELD, 2 * k)
-    found = search(graph, packed, asking.select("key").distinct(), OPEN, held)
+    found = search(graph, asking.select("key").distinct(), OPEN, held)
     near = F.slice("nbr", 1, 2 * k + 24)  # those whose order single steps of 16 bits could change
     pairs = found.select("key", F.explode(near).alias("c")).unionAll(asking.select("key", F.col("key").alias("c")).distinct())
     exact = pairs.join(full.select(F.col("key").alias("c"), F.col("v").alias("v_c"), "copies"), "c").join(full.select("key", "v"), "key")

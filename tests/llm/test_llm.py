@@ -322,7 +322,7 @@ def test_recall_with_small_leaves(spark, monkeypatch):
     x = np.random.default_rng(5).standard_normal((3000, 20))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     assert recall_of(spark, x).mean() >= 0.9
-    monkeypatch.setattr(neighbours, "descend", lambda graph, nodes, keep, meet, seed: graph.withColumn("fresh", F.lit(0)))
+    monkeypatch.setattr(neighbours, "descend", lambda graph, keep, meet: graph.withColumn("fresh", F.lit(0)))
     assert recall_of(spark, x).mean() < 0.8
 
 
