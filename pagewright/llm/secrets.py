@@ -24,7 +24,9 @@ from pagewright.llm.common import bounded_batches
 @dataclass(frozen=True)
 class Rule:
     """kind; regex; group whose length is checked after matching, and the least length. `begin` is a regex of which
-    every place where `regex` matches is a match as well: what the automaton looks for. It may be shorter than `regex`."""
+    every place where `regex` matches is a match as well: what the automaton looks for. It may be shorter than `regex`, if
+    a failed match that begins there reads no more than a bounded number of characters, or only such as no other reads:
+    scanning a text then takes time in proportion to its length."""
 
     kind: str
     regex: str
@@ -51,7 +53,7 @@ EXTRA = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}", r"AIza[0-9A-Za-z_-]"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}", r"[sr]k_live_[0-9A-Za-z]"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8}"),
     Rule("private_key", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:{KEY_TO_END}|{KEY_LINES})", r"-----BEGIN [A-Z ]"),
 )
 RULES = BASE + EXTRA

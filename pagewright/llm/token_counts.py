@@ -1,7 +1,9 @@
 """Operator 9: token counts by prefix dynamic programming over byte pairs.
 
-`TokenCounter.prefix_counts` has the exact count of every prefix of a text; `fit` answers how much of a text a budget
-holds; `token_counts` does so for a table. Words are counted once per worker and looked up afterwards.
+`TokenCounter.prefix_counts` has the exact count of every prefix of a text. A word's table, the counts of its prefixes, is
+computed once per worker and kept; a text's counts are its words' tables laid end to end, each raised by what came before
+it. How long a text is, whether it goes over a limit, and where to cut it for a budget are all read off that array;
+nothing is encoded again. `token_counts` does so for a table, `prefix_token_counts` hands the arrays out.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -24,8 +26,13 @@ from pagewright.llm.common import bounded_batches
 
 # The published split rule of byte-level BPE tokenizers of this family.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: More white space after a blank, or a blank at an end: there, a blank alone doesn't tell where a word begins.
-UNSURE = re.compile(r" \s|\A | \Z")
+#: More white space beside a blank, or a blank at an end: there, a blank alone doesn't tell where a word begins.
+UNSURE = re.compile(r" \s|\s |\A | \Z")
+#: Contractions that are a word of the split rule only when whole.
+CONTRACTIONS = ("'re", "'ve", "'ll")
+SPACES = regex.compile(r"\s{2,}")
+#: Longer words' tables are computed each time.
+CACHE_CHARS = 64
 CACHE_WORDS = 600_000
 CACHE_PAIRS = 1_000_000
 #: Above this code point the split is left to the library's own splitter, whose Unicode tables may be newer.
@@ -70,8 +77,8 @@ class TokenCounter:
         self.pairs = pairs
         self.made, self.left, self.right = (x.tolist() for x in (self.pieces.made, self.pieces.left, self.pieces.right))
         self.stable: dict[int, bool] = {}
-        self.words: dict[str, int] = {}  # of pre-split words
-        self.chunks: dict[str, int] = {}  # of what stands between blanks, its blank in front included
+        self.tables: dict[str, bytes] = {}  # of words of the split rule: 32-bit counts of each prefix, in code points
+        self.chunks: dict[str, bytes] = {}  # of what stands between blanks, its blank in front included
 
     def prefix_table(self, data: bytes) -> list[int]:
         """counts[i]: tokens of data[:i], data being one word of the split rule. Each prefix ends in one piece (see bpe_dp)."""
@@ -116,114 +123,107 @@ class TokenCounter:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return SPLIT.findall(text)
 
-    def _learn(self, words: list[str]) -> dict[str, int]:
-        return {w: self.prefix_table(w.encode("utf-8", "surrogatepass"))[-1] for w in words}
+    def _table(self, word: str) -> bytes:
+        """Counts of each prefix of one word of the split rule."""
+        known = self.tables.get(word)
+        if known is not None:
+            return known
+        data = word.encode("utf-8", "surrogatepass")
+        count = np.array(self.prefix_table(data), dtype=np.int32)
+        if len(data) > len(word):  # only where a code point ends
+            count = count[np.append((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80, True)]
+        table = count[1:].tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self.tables) > CACHE_WORDS:
+                self.tables.clear()
+            self.tables[word] = table
+        return table
 
-    def _count_words(self, words: list[str]) -> int:
-        new = [w for w in set(words) if w not in self.words]
-        if new:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-                new = list(set(words))
-            self.words.update(self._learn(new))
-        return sum(map(self.words.__getitem__, words))
+    @staticmethod
+    def _laid(tables: list[bytes]) -> np.ndarray:
+        """Tables end to end, each raised by the last counts of those before it."""
+        flat = np.frombuffer(b"".join(tables), dtype=np.int32)
+        size = np.fromiter(map(len, tables), dtype=np.int64, count=len(tables)) // 4
+        last = flat[np.cumsum(size) - 1]
+        return flat + np.repeat(np.cumsum(last) - last, size)
 
-    def chunk_counts(self, chunks: set[str]) -> dict[str, int]:
-        """Counts of chunks ' word'; the cache holds them for later texts."""
+    def _ordinary(self, text: str) -> np.ndarray:
+        """Counts of text[:1], text[:2], ... where no special token is.
+
+        A prefix that ends inside a word has that word's prefix as its last word, but in two places: white space at a
+        prefix's end is one word, though in the text its last blank may go with what follows; and a contraction that
+        isn't whole yet is an apostrophe and a letter."""
+        words = self.split(text)
+        if not words:
+            return np.zeros(0, dtype=np.int64)
+        out = self._laid([self._table(w) for w in words]).astype(np.int64)
+        for m in SPACES.finditer(text):
+            a, b = m.span()
+            out[a:b] = (out[a - 1] if a else 0) + np.frombuffer(self._table(m[0]), dtype=np.int32)
+        if "'" in text:
+            at = 0
+            for w in words:
+                if w in CONTRACTIONS:
+                    out[at + 1] = (out[at - 1] if at else 0) + 1 + np.frombuffer(self._table(w[1]), dtype=np.int32)[0]
+                at += len(w)
+        return out
+
+    def _chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Tables of chunks ' word'; the cache holds them for later texts."""
         if len(self.chunks) > CACHE_WORDS:
             self.chunks.clear()
-        new = [c for c in chunks if c not in self.chunks]
-        parts = {c: [" " + c] if c.isalpha() and max(c) < "\u0530" else self.split(" " + c) for c in new}
-        words = {w for p in parts.values() for w in p if w not in self.words}
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            words = {w for p in parts.values() for w in p}
-        self.words.update(self._learn(list(words)))
-        for c, p in parts.items():
-            self.chunks[c] = sum(map(self.words.__getitem__, p))
+        for c in chunks:
+            if c not in self.chunks:
+                w = " " + c
+                self.chunks[c] = self._table(w) if c.isalpha() and max(c) < "\u0530" else self._ordinary(w).astype(np.int32).tobytes()
         return self.chunks
 
-    def _pieces_of(self, text: str) -> Iterator[tuple[str, bool]]:
-        """A text's parts between special tokens, and whether a special token follows."""
-        rest = text
-        if any(s in text for s in self.special):
-            cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-            while m := cut.search(rest):
-                yield rest[: m.start()], True
-                rest = rest[m.end() :]
-        yield rest, False
+    def _special(self, text: str) -> np.ndarray:
+        """Counts of text[:1], ... with special tokens in it: a special token that isn't whole yet is ordinary text."""
+        out, base, start = [], 0, 0
+        cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        while m := cut.search(text, start):
+            near = self._ordinary(text[start : m.end() - 1]) + base
+            at = m.start() - start
+            base = (int(near[at - 1]) if at else base) + 1
+            out += [near, [base]]
+            start = m.end()
+        return np.concatenate([*out, self._ordinary(text[start:]) + base])
+
+    def counts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text, counts[i]: tokens of text[:i] encoded by itself, i from 0 to its length in code points."""
+        split = [None if UNSURE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        known = self._chunks({c for p in split if p is not None for c in p[1:]})
+        for t, p in zip(texts, split):
+            if not t:
+                found = np.zeros(0, dtype=np.int64)
+            elif p is not None:
+                found = self._laid([self._ordinary(p[0]).astype(np.int32).tobytes(), *map(known.__getitem__, p[1:])])
+            elif any(s in t for s in self.special):
+                found = self._special(t)
+            else:
+                found = self._ordinary(t)
+            yield np.concatenate(([0], found))
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        return next(self.counts([text]))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text, as the library gives them without begin, end and added special tokens."""
-        plain: list[list[str] | None] = []
-        chunks: set[str] = set()
-        for t in texts:
-            if UNSURE.search(t) or any(s in t for s in self.special):
-                plain.append(None)
-            else:
-                plain.append(t.split(" "))
-                chunks.update(plain[-1][1:])
-        known = self.chunk_counts(chunks)
-        out = []
-        for t, p in zip(texts, plain):
-            if p is None:
-                out.append(sum(self._count_words(self.split(part)) + special for part, special in self._pieces_of(t)))
-            else:
-                out.append(self._count_words(self.split(p[0])) + sum(map(known.__getitem__, p[1:])))
-        return out
+        return [int(c[-1]) for c in self.counts(texts)]
 
     def fit(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix that ends with a word of the split rule and has at most `budget` tokens."""
-        used = end = 0
-        for part, special in self._pieces_of(text):
-            for w in self.split(part):
-                used += self._count_words([w])
-                if used > budget:
-                    return end
-                end += len(w)
-            if special:
-                used += 1
-                if used > budget:
-                    return end
-                rest = text[end:]
-                end += len(next(s for s in sorted(self.special, key=len, reverse=True) if rest.startswith(s)))
-        return end
+        return longest(self.prefix_counts(text), budget)
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """counts[i]: tokens of text[:i] encoded by itself, i from 0 to its length in code points.
-
-        Inside a letter or number run the split of a prefix is the prefix of the split, so one table serves all of it;
-        where the split rule looks ahead (white space, contractions, special tokens) the word around the end is split anew."""
-        n = len(text)
-        out = np.zeros(n + 1, dtype=np.int64)
-        base = start = 0
-        for part, special in self._pieces_of(text):
-            end = 0
-            words = self.split(part)
-            for w in words:
-                table = self.prefix_table(w.encode("utf-8", "surrogatepass"))
-                at_byte = 0
-                plain = w.lstrip(" ").isalpha() or w.lstrip(" ").isnumeric()
-                for k, ch in enumerate(w):
-                    at_byte += len(ch.encode("utf-8", "surrogatepass"))
-                    here = [w] if plain else self.split(w[: k + 1])
-                    out[start + end + k + 1] = base + (table[at_byte] if len(here) == 1 else self._count_words(here))
-                base += table[-1]
-                end += len(w)
-            # A run of white space at a prefix's end is one word, whatever follows it in the text.
-            for m in regex.finditer(r"\s+", part):
-                head = int(out[start + m.start()])
-                for k in range(m.start() + 1, m.end() + 1):
-                    out[start + k] = head + self._count_words(self.split(part[m.start() : k]))
-            start += end
-            if special:
-                s = next(s for s in sorted(self.special, key=len, reverse=True) if text.startswith(s, start))
-                for k in range(1, len(s)):  # a special token that isn't whole yet is ordinary text
-                    out[start + k] = self.count([text[: start + k]])[0]
-                base += 1
-                start += len(s)
-                out[start] = base
-        return out
+
+def longest(counts: np.ndarray, budget: int) -> int:
+    """Code points of the longest prefix that has at most `budget` tokens (0 or more). Counts needn't rise with every character."""
+    return int(np.flatnonzero(counts <= budget)[-1])
+
+
+def longest_prefix(counts: Column, budget: int) -> Column:
+    """The same of a column of prefix counts, in the JVM."""
+    return F.size(counts) - F.array_position(F.reverse(F.transform(counts, lambda n: n <= budget)), True)
 
 
 @lru_cache(maxsize=2)
@@ -232,7 +232,7 @@ def counter(path: str) -> TokenCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit, fit_chars (code points of the longest whole-word prefix within the limit).
+    """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit, fit_chars (code points of the longest prefix with at most `limit` tokens).
 
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and ids are counted each. Other columns aren't read."""
     bounded_batches(docs.sparkSession)
@@ -242,12 +242,22 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str =
         c = counter(path)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
-            n = c.count(texts)
-            yield pd.DataFrame({
-                "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts],
-                "n_tokens": n,
-                "over_limit": [x > limit for x in n],
-                "fit_chars": [c.fit(t, limit) if x > limit else len(t) for t, x in zip(texts, n)],
-            })
+            out = []
+            for t, n in zip(texts, c.counts(texts)):
+                out.append((len(t.encode("utf-8", "surrogatepass")), int(n[-1]), bool(n[-1] > limit), longest(n, limit) if n[-1] > limit else len(t)))
+            yield pd.DataFrame(out, columns=["n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     return docs.select(id_column, counted(F.col(text_column)).alias("r")).select(id_column, "r.*")
+
+
+def prefix_token_counts(docs: DataFrame, path: str, text_column: str = "text", out_column: str = "prefix_counts") -> DataFrame:
+    """docs with the token count of each prefix of its text, from none of it to all (array<int>); see longest_prefix. A null text is empty. A column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = counter(path)
+        for batch in batches:
+            yield pd.Series([n.astype(np.int32) for n in c.counts([t if isinstance(t, str) else "" for t in batch])], dtype=object)
+
+    return docs.withColumn(out_column, counted(F.col(text_column)))

@@ -61,6 +61,30 @@ def test_prefix_counts_and_fit():
             assert want[c.fit(t, budget)] <= budget
 
 
+def test_prefix_counts_of_tables(spark, small, odd):
+    """The arrays of a table answer what the library would say of every cut, and take time in proportion to the text."""
+    import time
+
+    lib = Tokenizer.from_file(BPE)
+    want = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    got = token_counts.prefix_token_counts(odd, BPE).select("text", "prefix_counts", token_counts.longest_prefix(F.col("prefix_counts"), 3).alias("cut")).collect()
+    for r in got:
+        t = r.text or ""
+        assert len(r.prefix_counts) == len(t) + 1
+        for i in {*range(min(len(t), 40) + 1), len(t)}:
+            assert r.prefix_counts[i] == want(t[:i])
+        assert r.cut == max(i for i, n in enumerate(r.prefix_counts) if n <= 3)
+    for r in queries.op9_token_counts(spark, small).join(spark.read.parquet(f"{small}/documents.parquet"), "doc_id").where("over_limit").collect():
+        assert want(r.text[: r.fit_chars]) <= 1024 < want(r.text[: r.fit_chars + 1])
+    c, took = token_counts.counter(BPE), []
+    for n in (20_000, 200_000):
+        began = time.time()
+        for unit in (" ", "a \n ", "<|endoftext|>", "'re ", "x\t"):
+            assert len(c.prefix_counts(unit * (n // len(unit)))) > n - 20
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_pieces(spark, small, odd):
     lib = sentencepiece.SentencePieceProcessor(model_file=SP)
     texts = dict(documents(spark, small))
@@ -117,6 +141,19 @@ def test_secret_scanner():
         assert s.scan(t) == brute_secrets(t), t
 
 
+def test_scans_take_linear_time():
+    import time
+
+    s = secrets.scanner()
+    for unit in ("eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJabcdefg.", "password ", "token=\"", "AKIA", "xoxb-", "ghp_abc", "AIzaabc", "sk_live_a", "0123456789abcde ", "-----BEGIN RSA PRIVATE KEY-----\nabc"):
+        took = []
+        for n in (40_000, 400_000):
+            began = time.time()
+            s.scan(unit * (n // len(unit)))
+            took.append(time.time() - began)
+        assert took[1] < 40 * took[0] + 0.2, unit
+
+
 def test_secret_query(spark, small, odd):
     texts = dict(documents(spark, small))
     for r in queries.op3_secret_scans(spark, small).collect():
