@@ -33,7 +33,7 @@ KEEP, MEET = 40, 20
 SETTLED = 0.05
 DRAWS, LEAF = 8, 256
 #: Nodes of a bucket, and numbers in a bucket's vectors, at most.
-BUCKET, BUCKET_NUMBERS = 4096, 1 << 19
+BUCKET, BUCKET_NUMBERS = 2048, 1 << 18
 #: The sample that planes are fitted on: rows for each bucket, and rows and numbers at most.
 BUCKET_SAMPLE, SAMPLE_ROWS, SAMPLE_NUMBERS = 256, 1 << 16, 1 << 24
 OPEN, HELD = 120, 120
@@ -243,6 +243,25 @@ def reverse(graph: DataFrame, take: int, of: int, turn: Column) -> DataFrame:
     return named.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= take).select("u", "v")
 
 
+def _marks(key: np.ndarray) -> np.ndarray:
+    """16-bit marks of node numbers."""
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+
+
+def marked(lists: Column) -> Column:
+    """A list's marks, for those who learn to leave out what it holds. Of what it doesn't hold, one in 1,600 is left out as well at 40 entries."""
+
+    @F.pandas_udf("binary")
+    def marks(rows: pd.Series) -> pd.Series:
+        size = rows.map(len).to_numpy()
+        flat = _marks(np.concatenate(rows.tolist()) if size.sum() else np.zeros(0, dtype=np.int64)).tobytes()
+        ends = 2 * np.cumsum(size)
+        return pd.Series([flat[a:b] for a, b in zip((ends - 2 * size).tolist(), ends.tolist())], dtype=object)
+
+    return marks(lists)
+
+
 def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
     """One round: whoever meets at a node and is nearer than the last of its own list joins that list.
 
@@ -252,10 +271,13 @@ def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
     there = forward.unionAll(reverse(graph, meet, meet, turn + 1))
     hosts = there.groupBy(F.shiftright("u", PLACE).alias("bucket"), F.col("v").alias("key")).agg(F.collect_set("u").alias("at"))
     last = F.when(F.size("nbr") >= keep, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-    guests = hosts.join(graph.select("key", "x", last.alias("last")), "key")
+    guests = hosts.join(graph.select("key", "x", last.alias("last"), marked("nbr").alias("known")), "key")
 
     def learn(t: pa.Table) -> pa.Table:
         key, x, last = _numbers(t, "key"), _vectors(t), _numbers(t, "last")
+        mark, known = _marks(key), np.zeros((len(key), keep), dtype=np.int32) - 1
+        for r, b in enumerate(_column(t, "known").to_pylist()):
+            known[r, : len(b) // 2] = np.frombuffer(b, dtype=np.uint16)
         guest, host = _lists(t, "at")
         order = np.lexsort((key[guest], host))
         guest, host = guest[order], host[order]
@@ -263,8 +285,8 @@ def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
         size = np.diff(np.append(first, len(host)))
         found = []
         together = max(1, (1 << 22) // (int(size.max()) * max(x.shape[1], int(size.max()))))  # a table of products stays under 16 MB
-        for a in range(0, len(first), together):
-            f, s = first[a : a + together], size[a : a + together]
+        for start in range(0, len(first), together):
+            f, s = first[start : start + together], size[start : start + together]
             place = np.arange(int(s.max()))
             there = place < s[:, None]
             at = guest[np.minimum(f[:, None] + place, len(guest) - 1)]
@@ -272,7 +294,9 @@ def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
             near = who @ who.transpose(0, 2, 1)
             good = (near > last[at][:, :, None]) & there[:, :, None] & there[:, None, :] & (place[:, None] != place)
             h, i, j = np.nonzero(good)
-            found.append((key[at[h, i]], key[at[h, j]], near[h, i, j]))
+            a, b, s = at[h, i], at[h, j], near[h, i, j]
+            new = np.concatenate([~(known[a[c : c + 100_000]] == mark[b[c : c + 100_000], None]).any(axis=1) for c in range(0, len(a), 100_000)] or [np.zeros(0, dtype=bool)])
+            found.append((key[a[new]], key[b[new]], s[new]))
         return _nearest(*(np.concatenate(c) for c in zip(*found)), keep)
 
     learned = guests.groupBy("bucket").applyInArrow(learn, LIST)
