@@ -2,8 +2,9 @@
 
 `TokenCounter.prefix_counts` has the exact count of every prefix of a text. A word's table, the counts of its prefixes, is
 computed once per worker and kept; a text's counts are its words' tables laid end to end, each raised by what came before
-it. How long a text is, whether it goes over a limit, and where to cut it for a budget are all read off that array;
-nothing is encoded again. `token_counts` does so for a table, `prefix_token_counts` hands the arrays out.
+it. How long a text is, whether it goes over a limit, and where to cut it for a budget are read off that array, nothing
+is encoded again: `measure` does so by the sums at word ends and the table of the one word that holds the cut.
+`token_counts` does so for a table, `prefix_token_counts` hands whole arrays out.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class TokenCounter:
         self.made, self.left, self.right = (x.tolist() for x in (self.pieces.made, self.pieces.left, self.pieces.right))
         self.stable: dict[int, bool] = {}
         self.tables: dict[str, bytes] = {}  # of words of the split rule: 32-bit counts of each prefix, in code points
-        self.chunks: dict[str, bytes] = {}  # of what stands between blanks, its blank in front included
+        self._forget()
 
     def prefix_table(self, data: bytes) -> list[int]:
         """counts[i]: tokens of data[:i], data being one word of the split rule. Each prefix ends in one piece (see bpe_dp)."""
@@ -156,27 +157,62 @@ class TokenCounter:
         words = self.split(text)
         if not words:
             return np.zeros(0, dtype=np.int64)
-        out = self._laid([self._table(w) for w in words]).astype(np.int64)
+        whole = self._laid([self._table(w) for w in words])
+        out = whole.astype(np.int64)
         for m in SPACES.finditer(text):
             a, b = m.span()
-            out[a:b] = (out[a - 1] if a else 0) + np.frombuffer(self._table(m[0]), dtype=np.int32)
+            out[a:b] = (whole[a - 1] if a else 0) + np.frombuffer(self._table(m[0]), dtype=np.int32)
         if "'" in text:
             at = 0
             for w in words:
                 if w in CONTRACTIONS:
-                    out[at + 1] = (out[at - 1] if at else 0) + 1 + np.frombuffer(self._table(w[1]), dtype=np.int32)[0]
+                    out[at + 1] = (whole[at - 1] if at else 0) + 1 + np.frombuffer(self._table(w[1]), dtype=np.int32)[0]
                 at += len(w)
         return out
 
-    def _chunks(self, chunks: set[str]) -> dict[str, bytes]:
-        """Tables of chunks ' word'; the cache holds them for later texts."""
+    def _forget(self) -> None:
+        """Tables of chunks, of what stands between blanks, its blank in front included: by number, with each one's last count."""
+        self.chunks: dict[str, int] = {}
+        self.chunk_tables: list[bytes] = []
+        self.chunk_last = np.zeros(1024, dtype=np.int64)
+
+    def _numbered(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks ' word'; their tables stay for later texts."""
+        try:
+            return np.fromiter(map(self.chunks.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        except KeyError:
+            pass
         if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
+            self._forget()
         for c in chunks:
             if c not in self.chunks:
                 w = " " + c
-                self.chunks[c] = self._table(w) if c.isalpha() and max(c) < "\u0530" else self._ordinary(w).astype(np.int32).tobytes()
-        return self.chunks
+                table = self._table(w) if c.isalpha() and max(c) < "\u0530" else self._ordinary(w).astype(np.int32).tobytes()
+                k = self.chunks[c] = len(self.chunk_tables)
+                self.chunk_tables.append(table)
+                if k == len(self.chunk_last):
+                    self.chunk_last = np.concatenate((self.chunk_last, np.zeros(k, dtype=np.int64)))
+                self.chunk_last[k] = np.frombuffer(table[-4:], dtype=np.int32)[0]
+        return np.fromiter(map(self.chunks.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+
+    def measure(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens, code points of the longest prefix that has at most `budget` of them)."""
+        if UNSURE.search(text) or any(s in text for s in self.special):
+            counts = self.prefix_counts(text)
+            return int(counts[-1]), longest(counts, budget)
+        parts = text.split(" ")
+        first = np.concatenate(([0], self._ordinary(parts[0])))
+        at = self._numbered(parts[1:])
+        ends = first[-1] + np.cumsum(self.chunk_last[at])
+        total = int(ends[-1]) if len(ends) else int(first[-1])
+        if total <= budget:
+            return total, len(text)
+        k = int(np.searchsorted(ends, budget))  # chunks that end below the budget; the next one's blank fits in as well
+        if k == 0 and first[-1] >= budget:
+            return total, longest(first, budget)
+        before = int(ends[k - 1]) if k else int(first[-1])
+        table = np.concatenate(([0], np.frombuffer(self.chunk_tables[at[k]], dtype=np.int32)))
+        return total, len(parts[0]) + sum(map(len, parts[1 : k + 1])) + k + longest(table, budget - before)
 
     def _special(self, text: str) -> np.ndarray:
         """Counts of text[:1], ... with special tokens in it: a special token that isn't whole yet is ordinary text."""
@@ -192,17 +228,15 @@ class TokenCounter:
 
     def counts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """For each text, counts[i]: tokens of text[:i] encoded by itself, i from 0 to its length in code points."""
-        split = [None if UNSURE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        known = self._chunks({c for p in split if p is not None for c in p[1:]})
-        for t, p in zip(texts, split):
-            if not t:
-                found = np.zeros(0, dtype=np.int64)
-            elif p is not None:
-                found = self._laid([self._ordinary(p[0]).astype(np.int32).tobytes(), *map(known.__getitem__, p[1:])])
-            elif any(s in t for s in self.special):
+        for t in texts:
+            if any(s in t for s in self.special):
                 found = self._special(t)
-            else:
+            elif not t or UNSURE.search(t):
                 found = self._ordinary(t)
+            else:
+                p = t.split(" ")
+                at = self._numbered(p[1:])
+                found = self._laid([self._ordinary(p[0]).astype(np.int32).tobytes(), *[self.chunk_tables[k] for k in at.tolist()]])
             yield np.concatenate(([0], found))
 
     def prefix_counts(self, text: str) -> np.ndarray:
@@ -210,10 +244,10 @@ class TokenCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text, as the library gives them without begin, end and added special tokens."""
-        return [int(c[-1]) for c in self.counts(texts)]
+        return [self.measure(t, 0)[0] for t in texts]
 
     def fit(self, text: str, budget: int) -> int:
-        return longest(self.prefix_counts(text), budget)
+        return self.measure(text, budget)[1]
 
 
 def longest(counts: np.ndarray, budget: int) -> int:
@@ -243,8 +277,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_column: str =
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
             out = []
-            for t, n in zip(texts, c.counts(texts)):
-                out.append((len(t.encode("utf-8", "surrogatepass")), int(n[-1]), bool(n[-1] > limit), longest(n, limit) if n[-1] > limit else len(t)))
+            for t in texts:
+                n, cut = c.measure(t, limit)
+                out.append((len(t.encode("utf-8", "surrogatepass")), n, n > limit, cut))
             yield pd.DataFrame(out, columns=["n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     return docs.select(id_column, counted(F.col(text_column)).alias("r")).select(id_column, "r.*")

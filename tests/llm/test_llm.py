@@ -57,8 +57,8 @@ def test_prefix_counts_and_fit():
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
         want = [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
         assert c.prefix_counts(t).tolist() == want, t
-        for budget in (0, 2, 5):
-            assert want[c.fit(t, budget)] <= budget
+        for budget in (0, 1, 2, 3, 5, 8):
+            assert c.measure(t, budget) == (want[-1], max(i for i, n in enumerate(want) if n <= budget)), (t, budget)
 
 
 def test_prefix_counts_of_tables(spark, small, odd):
