@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +34,8 @@ UNSURE = re.compile(r" \s|\s |\A | \Z")
 #: Contractions that are a word of the split rule only when whole.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 SPACES = regex.compile(r"\s{2,}")
+#: Marks that are one word of the split rule together, at the end of a chunk.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Longer words' tables are computed each time.
 CACHE_CHARS = 64
 CACHE_WORDS = 600_000
@@ -124,22 +128,38 @@ class TokenCounter:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return SPLIT.findall(text)
 
-    def _table(self, word: str) -> bytes:
-        """Counts of each prefix of one word of the split rule."""
-        known = self.tables.get(word)
-        if known is not None:
-            return known
+    def _counts_of(self, word: str) -> list[int]:
+        """Counts of each prefix of one word of the split rule, from its first code point on."""
         data = word.encode("utf-8", "surrogatepass")
-        count = np.array(self.prefix_table(data), dtype=np.int32)
-        if len(data) > len(word):  # only where a code point ends
-            count = count[np.append((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80, True)]
-        table = count[1:].tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self.tables) > CACHE_WORDS:
-                self.tables.clear()
-            self.tables[word] = table
+        count = self.prefix_table(data)
+        if len(data) == len(word):
+            return count[1:]
+        return [n for n, b in zip(count[1:], data[1:] + b"a") if b & 0xC0 != 0x80]  # only where a code point ends
+
+    def _table(self, word: str) -> bytes:
+        """The same as 32-bit numbers; short words' are kept."""
+        table = self.tables.get(word)
+        if table is None:
+            table = array("i", self._counts_of(word)).tobytes()
+            if len(word) <= CACHE_CHARS:
+                if len(self.tables) > CACHE_WORDS:
+                    self.tables.clear()
+                self.tables[word] = table
         return table
 
+    def _chunk(self, text: str) -> bytes:
+        """The table of what stands between two blanks, with its blank in front. Most are one word, which needn't be kept twice."""
+        if text[1:].isalpha() and max(text) < "\u0530":
+            return array("i", self._counts_of(text)).tobytes()
+        if "'" in text or SPACES.search(text):
+            return self._ordinary(text).astype(np.int32).tobytes()
+        out, base = array("i"), 0
+        for w in self.split(text):
+            counts = self._counts_of(w) if len(w) > 3 else array("i", self._table(w))
+            out.extend([base + n for n in counts] if base else counts)
+            base = out[-1]
+        return out.tobytes()
+
     @staticmethod
     def _laid(tables: list[bytes]) -> np.ndarray:
         """Tables end to end, each raised by the last counts of those before it."""
@@ -186,15 +206,24 @@ class TokenCounter:
             self._forget()
         for c in chunks:
             if c not in self.chunks:
-                w = " " + c
-                table = self._table(w) if c.isalpha() and max(c) < "\u0530" else self._ordinary(w).astype(np.int32).tobytes()
-                k = self.chunks[c] = len(self.chunk_tables)
-                self.chunk_tables.append(table)
-                if k == len(self.chunk_last):
-                    self.chunk_last = np.concatenate((self.chunk_last, np.zeros(k, dtype=np.int64)))
-                self.chunk_last[k] = np.frombuffer(table[-4:], dtype=np.int32)[0]
+                core = c.rstrip(MARKS)
+                if core != c and core.isalpha() and max(core) < "\u0530":  # a word and marks: most words come with and without
+                    if core not in self.chunks:
+                        self._keep(core, self._chunk(" " + core))
+                    word, after = self.chunk_tables[self.chunks[core]], array("i", self._table(c[len(core) :]))
+                    last = int.from_bytes(word[-4:], sys.byteorder)
+                    self._keep(c, word + array("i", [last + n for n in after]).tobytes())
+                else:
+                    self._keep(c, self._chunk(" " + c))
         return np.fromiter(map(self.chunks.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
+    def _keep(self, chunk: str, table: bytes) -> None:
+        k = self.chunks[chunk] = len(self.chunk_tables)
+        self.chunk_tables.append(table)
+        if k == len(self.chunk_last):
+            self.chunk_last = np.concatenate((self.chunk_last, np.zeros(k, dtype=np.int64)))
+        self.chunk_last[k] = int.from_bytes(table[-4:], sys.byteorder)
+
     def measure(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens, code points of the longest prefix that has at most `budget` of them)."""
         if UNSURE.search(text) or any(s in text for s in self.special):
