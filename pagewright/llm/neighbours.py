@@ -8,7 +8,7 @@ neighbours and of those that name it together, others each time, and they learn
 neighbours of neighbours. Rounds go on until few list entries change. Queries walk the graph greedily from their own
 lists, opening the nearest nodes that aren't open yet, until all they hold are open. The way is the same at every size.
 
-A vector is sent once to each bucket that needs it, in 16-bit steps of its largest number (an inner product is off by
+A vector is sent once to each group of numbers that needs it, in 16-bit steps of its largest number (an inner product is off by
 some 0.00001 of the vectors' lengths); what comes out at the end is measured again in double precision.
 
 The lists (KEEP), the neighbours that meet (MEET), the nodes opened at a time (OPEN) and held (HELD) are the method's
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import bounded_batches, cut, partitions, spread_join
 from pagewright.llm.vector_dedup import matrix, usable
 
-KEEP, MEET = 40, 20
+KEEP, MEET = 40, 16
 #: Rounds end when no more than this share of the list entries is new.
 SETTLED = 0.05
 DRAWS, LEAF = 8, 256
 #: Nodes of a bucket, and numbers in a bucket's vectors, at most.
-BUCKET, BUCKET_NUMBERS = 2048, 1 << 18
+BUCKET, BUCKET_NUMBERS = 4096, 1 << 19
+#: Bits of a number within a group: 256 nodes that follow each other meet their guests in one group, 2,048 are looked up by queries in one.
+MEETING, LOOKUP = 8, 11
 #: The sample that planes are fitted on: rows for each bucket, and rows and numbers at most.
 BUCKET_SAMPLE, SAMPLE_ROWS, SAMPLE_NUMBERS = 256, 1 << 16, 1 << 24
 OPEN, HELD = 120, 120
@@ -187,16 +189,17 @@ def halved(x: np.ndarray, leaf: int, seed: int) -> list[np.ndarray]:
 
 
 def numbered(nodes: DataFrame, planes: Planes, dim: int) -> DataFrame:
-    """nodes (v, copies) with x, the packed vector, bucket, that of the first draw, and key, a number that begins with it."""
+    """nodes (v, copies) with x, the packed vector, and key, a number that begins with the bucket in the first draw."""
 
-    @F.pandas_udf("x binary, bucket long")
+    @F.pandas_udf("x binary, bucket long, beside long")
     def pack(v: pd.Series) -> pd.DataFrame:
         x = matrix(v, dim)
-        return pd.DataFrame({"x": _packed(x), "bucket": planes.buckets(x.astype(np.float32), 0)})
+        single = x.astype(np.float32)
+        return pd.DataFrame({"x": _packed(x), "bucket": planes.buckets(single, 0), "beside": planes.buckets(single, len(planes.ways) - 1)})
 
     rows = cut(nodes.select("v", "copies", pack("v").alias("p")).select("v", "copies", "p.*"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("copies", "v"))
-    return rows.withColumn("key", F.shiftleft("bucket", PLACE) + place)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("beside", "copies", "v"))  # those that follow each other are near in a second draw too
+    return rows.select("v", "copies", "x", (F.shiftleft("bucket", PLACE) + place).alias("key"))
 
 
 def leaf_lists(nodes: DataFrame, planes: Planes, keep: int, draws: int, leaf: int) -> DataFrame:
@@ -265,11 +268,11 @@ def marked(lists: Column) -> Column:
 def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
     """One round: whoever meets at a node and is nearer than the last of its own list joins that list.
 
-    graph: LIST, x and turn, the number of the round. A guest's vector goes once to each bucket in which it meets others."""
+    graph: LIST, x and turn, the number of the round. A guest's vector goes once to each group of hosts in which it meets others."""
     turn = F.col("turn") * 2  # a column, not a literal, so that a round's plan is compiled once
     forward = graph.select(F.col("key").alias("u"), F.explode(_some(F.col("nbr"), F.col("key"), meet, turn)).alias("v"))
     there = forward.unionAll(reverse(graph, meet, meet, turn + 1))
-    hosts = there.groupBy(F.shiftright("u", PLACE).alias("bucket"), F.col("v").alias("key")).agg(F.collect_set("u").alias("at"))
+    hosts = there.groupBy(F.shiftright("u", MEETING).alias("group"), F.col("v").alias("key")).agg(F.collect_set("u").alias("at"))
     last = F.when(F.size("nbr") >= keep, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
     guests = hosts.join(graph.select("key", "x", last.alias("last"), marked("nbr").alias("known")), "key")
 
@@ -299,7 +302,7 @@ def descend(graph: DataFrame, keep: int, meet: int) -> DataFrame:
             found.append((key[a[new]], key[b[new]], s[new]))
         return _nearest(*(np.concatenate(c) for c in zip(*found)), keep)
 
-    learned = guests.groupBy("bucket").applyInArrow(learn, LIST)
+    learned = guests.groupBy("group").applyInArrow(learn, LIST)
     before = graph.select("key", "nbr", "sim", F.lit(True).alias("old"), "x", (F.col("turn") + 1).alias("turn"))
     return merged(before.unionByName(learned.withColumn("old", F.lit(False)), allowMissingColumns=True), keep, CARRIED)
 
@@ -321,19 +324,19 @@ def search(graph: DataFrame, queries: DataFrame, open_: int, held: int) -> DataF
     back = reverse(graph, KEEP, KEEP, F.col("turn")).groupBy(F.col("u").alias("key")).agg(F.collect_list("v").alias("nbr"))
     links = graph.select("key", "nbr").unionAll(back).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("nbr"))).alias("to"))
     links = cut(links.withColumnRenamed("key", "f"))
-    nodes = graph.select(F.shiftright("key", PLACE).alias("bucket"), "key", "x")
+    nodes = graph.select(F.shiftright("key", LOOKUP).alias("group"), "key", "x")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per query and bucket that it has candidates in."""
+        """A row per query and group that it has candidates in."""
         for b in batches:
             row, c = _lists(b, "to")
             order = np.lexsort((c, row))
             row, c = row[order], c[order]
-            bucket = c >> PLACE
-            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])))) if len(c) else np.zeros(0, dtype=np.int64)
+            group = c >> LOOKUP
+            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (group[1:] != group[:-1])))) if len(c) else np.zeros(0, dtype=np.int64)
             at = pa.array(row[first])
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(c)).astype(np.int32)), pa.array(c))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first]), "key": b.column("key").take(at), "x": b.column("x").take(at), "last": b.column("last").take(at), "to": lists})
+            yield pa.RecordBatch.from_pydict({"group": pa.array(group[first]), "key": b.column("key").take(at), "x": b.column("x").take(at), "last": b.column("last").take(at), "to": lists})
 
     def score(asked: pa.Table, there: pa.Table) -> pa.Table:
         out = []
@@ -362,8 +365,8 @@ def search(graph: DataFrame, queries: DataFrame, open_: int, held: int) -> DataF
         last = F.when(F.size("nbr") >= held, F.element_at("sim", -1)).otherwise(F.lit(float("-inf"))).cast("float")
         new = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")).join(state.select("key", "x", "nbr", last.alias("last")), "key")
         asked = new.select("key", "x", "last", F.array_except(F.array_except("to", "nbr"), F.array("key")).alias("to"))
-        dealt = asked.mapInArrow(deal, "bucket long, key long, x binary, last float, to array<long>")
-        scored = dealt.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(score, LIST)
+        dealt = asked.mapInArrow(deal, "group long, key long, x binary, last float, to array<long>")
+        scored = dealt.groupBy("group").cogroup(nodes.groupBy("group")).applyInArrow(score, LIST)
         before = state.select("key", "nbr", "sim", F.lit(True).alias("old"), "x", F.concat("opened", "front").alias("opened"))
         state = merged(before.unionByName(scored.withColumn("old", F.lit(False)), allowMissingColumns=True), held, "x binary, opened array<long>")
 
