@@ -64,6 +64,7 @@ TEMPLATES = {
     "generic_heading": ("哪一页讨论了“{h}”？", "Which page discusses '{h}'?"),
     "generic_topic": ("哪一页包含这一主题的说明内容？", "Which page contains information about this topic?"),
 }
+# Term lists, priorities and prompts that the rules are made of.
 BAD_HEADINGS = ("table of contents", "contents", "about this manual", "getting started", "index", "copyright", "franka robotics", "datasheet")
 WEAK_HEADINGS = ("contents", "about this manual", "getting started")
 BROAD_ZH = ("哪一页包含这一主题的说明内容",)

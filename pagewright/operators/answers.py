@@ -63,5 +63,13 @@ def select_answer(df: DataFrame) -> DataFrame:
     return df.withColumn("_best", best).select("query_id", F.col("_best.strategy").alias("selected_strategy"), F.col("_best.answer").alias("selected_answer"), F.col("_best.s").alias("selection_score"))
 
 
+def stitched_size(pages: DataFrame, by: str = "doc_id") -> DataFrame:
+    """pages (by, width, height): size of the picture that shows all of one `by` side by side, each widened to the greatest height."""
+    tallest = pages.groupBy(by).agg(F.max("height").alias("height"))
+    scaled = F.when(F.col("height") == F.col("tall"), F.col("width")).otherwise(F.floor(F.col("width") * (F.col("tall") / F.col("height"))))
+    rows = pages.join(tallest.withColumnRenamed("height", "tall"), by)
+    return rows.groupBy(by, F.col("tall").alias("height")).agg(F.sum(scaled).alias("width")).select(by, "width", "height")
+
+
 def prompt(question: Column, mode: str) -> Column:
     return F.concat(F.lit(f"{L.PROMPT_BASE}\n{L.PROMPT_MODES[mode]}Question: "), F.coalesce(question, F.lit("")))

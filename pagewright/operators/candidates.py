@@ -36,12 +36,13 @@ def score(text: Column, boxes: Column, lex: Lexicon = REFERENCE) -> tuple[Column
         size + F.when(boxes >= 20, 3.0).when(boxes >= 8, 2.0).otherwise(0.0) + least(f["units"], 6, 0.6) + least(f["numbers"], 20, 0.08) + least(f["bullets"], 8, 0.25)
         + least(F.size(high), 8, 1.2) - least(F.size(low), 6, 1.5) + least(f["titles"], 3, 0.4) - F.when(legal, 4.0).otherwise(0.0) - F.when(cert, 2.0).otherwise(0.0)
     )
+    # The names of the reasons.
     say = lambda cond, *parts: F.when(cond, F.concat(*parts))
     reasons = F.concat_ws(
         ";",
         F.when(n < 50, "too_short").when(n < 120, "short").when(n <= 3500, "good_length").otherwise("very_long"),
         F.when(boxes >= 8, "dense_boxes"), F.when(boxes >= 20, "very_dense_boxes"),
-        say(f["units"] > 0, F.lit("units="), f["units"].cast("string")), say(f["numbers"] >= 5, F.lit("numbers="), f["numbers"].cast("string")), say(f["bullets"] > 0, F.lit("bullets="), f["bullets"].cast("string")),
+        say(f["units"] > 0, F.lit("unit_hits="), f["units"].cast("string")), say(f["numbers"] >= 5, F.lit("number_hits="), f["numbers"].cast("string")), say(f["bullets"] > 0, F.lit("bullet_hits="), f["bullets"].cast("string")),
         say(F.size(high) > 0, F.lit("high_value="), first4(high)), say(F.size(low) > 0, F.lit("low_value="), first4(low)), say(f["titles"] > 0, F.lit("upper_titles="), f["titles"].cast("string")),
         F.when(legal, "legal_page"), F.when(cert, "certificate_page"),
     )

@@ -40,9 +40,11 @@ def adjacent_negatives(gold: DataFrame, pages: DataFrame | None = None, mode: st
 
 def far_negative(gold: DataFrame, pages: DataFrame) -> DataFrame:
     """The page of the gold document that lies farthest away; the smaller number at equal distance."""
-    j = gold.select("query_id", F.col("gold_doc_id").alias("doc_id"), "gold_page_idx").join(pages.select("doc_id", "page_idx"), "doc_id").where("page_idx <> gold_page_idx")
-    best = j.groupBy("query_id", "doc_id").agg(F.max(F.struct(F.abs(F.col("page_idx") - F.col("gold_page_idx")).alias("far"), (-F.col("page_idx")).alias("p"))).alias("b"))
-    return best.select("query_id", F.col("doc_id").alias("neg_doc_id"), (-F.col("b.p")).alias("neg_page_idx"), F.lit("same_doc_far").alias("neg_source"))
+    ends = pages.groupBy("doc_id").agg(F.min("page_idx").alias("first"), F.max("page_idx").alias("last"))  # no other page can lie farthest
+    g = F.col("gold_page_idx")
+    j = gold.select("query_id", F.col("gold_doc_id").alias("doc_id"), "gold_page_idx").join(ends, "doc_id").where((F.col("first") != g) | (F.col("last") != g))
+    far = F.when(F.abs(F.col("first") - g) >= F.abs(F.col("last") - g), F.col("first")).otherwise(F.col("last"))
+    return j.select("query_id", F.col("doc_id").alias("neg_doc_id"), far.alias("neg_page_idx"), F.lit("same_doc_far").alias("neg_source"))
 
 
 def pairs(gold: DataFrame, negatives: DataFrame, suffix: str | None = None, root: str = "data/pages") -> DataFrame:

@@ -51,6 +51,17 @@ def _family(text: Column, kind: str, lex: L.Lexicon, heading: Column) -> Column:
     return F.slice(some, 1, 3 if kind in ("fact", "layout") else 2)
 
 
+def sums_before(df: DataFrame, key: str, value: str, parts: int = 256) -> DataFrame:
+    """(key, before): the sum of the values of all smaller keys; df has one row a key. Ranges of keys are summed by themselves, between some `parts` keys that a hash picks."""
+    n = df.count()
+    splits = sorted(r[0] for r in df.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // parts))) == 0).select(key).limit(8 * parts).collect() if r[0] is not None)
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(key))) if splits else F.lit(0))
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))  # a row a range
+    heads = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_head"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(key)) - F.col(value)
+    return ranged.withColumn("_inside", inside).join(F.broadcast(heads), "_range").select(key, (F.col("_head") + F.col("_inside")).alias("before"))
+
+
 def generate_queries(pages: DataFrame, lex: L.Lexicon = REFERENCE) -> DataFrame:
     """One row per query, numbered over pages in order before repeats go. The running number is a prefix sum of per-document counts."""
     t = F.col("ocr_text_clean")
@@ -62,7 +73,7 @@ def generate_queries(pages: DataFrame, lex: L.Lexicon = REFERENCE) -> DataFrame:
     made = made.otherwise(_family(t, "generic", lex, h))
     rows = with_heading.withColumn("made", made).withColumn("n", F.size("made"))
     per_doc = rows.groupBy("doc_id").agg(F.sum("n").alias("doc_n"))
-    offset = per_doc.select("doc_id", (F.sum("doc_n").over(Window.orderBy("doc_id")) - F.col("doc_n")).alias("before"))  # one row a document
+    offset = sums_before(per_doc, "doc_id", "doc_n")
     in_doc = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page_idx")) - F.col("n")
     numbered = rows.withColumn("in_doc", in_doc).join(offset, "doc_id")
     each = numbered.select("*", F.posexplode("made").alias("ord", "q"))

@@ -16,9 +16,10 @@ def balanced_weights(df: DataFrame, by: str = "query_type") -> DataFrame:
 def weighted_draw(df: DataFrame, n: int, seed: int = 0, weight: str = "weight") -> DataFrame:
     """n rows drawn with replacement in proportion to the weights: each draw falls into the row whose range of cumulated weight holds it.
 
-    Ranges are laid out per partition and shifted by the sums of the partitions before, so no single task sees all rows."""
+    Ranges are laid out per part of the rows' hash values and shifted by the sums of the parts before, so no single task
+    sees all rows and a repeated task lays out the same."""
     spark = df.sparkSession
-    part = df.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.sum(weight).over(Window.partitionBy("_part").orderBy(F.xxhash64(*df.columns)).rowsBetween(Window.unboundedPreceding, 0)))
+    part = df.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), *df.columns), F.lit(4 * spark.sparkContext.defaultParallelism))).withColumn("_in", F.sum(weight).over(Window.partitionBy("_part").orderBy(F.xxhash64(*df.columns)).rowsBetween(Window.unboundedPreceding, 0)))
     sums = part.groupBy("_part").agg(F.sum(weight).alias("w")).select("_part", (F.sum("w").over(Window.orderBy("_part")) - F.col("w")).alias("_before"), F.sum("w").over(Window.partitionBy(F.lit(1))).alias("_all"))
     rows = part.join(F.broadcast(sums), "_part").withColumn("_hi", F.col("_before") + F.col("_in")).withColumn("_lo", F.col("_hi") - F.col(weight))
     draws = spark.range(n).select("id", (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)).alias("_u"))
@@ -32,8 +33,15 @@ def split_by_query(df: DataFrame, ratio: float = 0.2, min_val: int = 1, seed: in
     ids = df.select("query_id").distinct()
     n = ids.count()
     n_val = max(1, min(n - 1, max(min_val, int(n * ratio))))
-    order = F.md5(F.concat(F.col("query_id").cast("string"), F.lit(str(seed))))
-    val = ids.select("query_id", order.alias("o")).orderBy(F.col("o").desc(), "query_id").limit(n_val).select("query_id", F.lit(True).alias("is_val"))
+    ids = ids.withColumn("o", F.md5(F.concat(F.col("query_id").cast("string"), F.lit(str(seed))))).withColumn("head", F.substring("o", 1, 3))
+    sizes = {r["head"]: r["count"] for r in ids.groupBy("head").count().collect()}  # 4,096 rows at most
+    taken, edge = 0, None
+    for edge in sorted(sizes, reverse=True):  # whole heads are taken but for the last, of which the highest are
+        if taken + sizes[edge] >= n_val:
+            break
+        taken += sizes[edge]
+    rest = ids.where(F.col("head") == edge).orderBy(F.col("o").desc(), "query_id").limit(max(n_val - taken, 0))
+    val = ids.where(F.col("head") > edge).unionAll(rest).select("query_id", F.lit(True).alias("is_val"))
     return df.join(val, "query_id", "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
 
 
@@ -55,6 +63,14 @@ def combined_loss(nce: Column, margin: Column, weight: float = 0.25) -> Column:
     return nce + weight * margin
 
 
+def batch_losses(triples: DataFrame, margin: float = 0.2, weight: float = 0.25, temperature: float = 0.07) -> DataFrame:
+    """triples (batch, i, q, p, n): (batch, nce, margin_loss, loss) of each batch."""
+    m = F.greatest(F.lit(0.0), margin - T.dot(F.col("q"), F.col("p")) + T.dot(F.col("q"), F.col("n")))
+    hinge = triples.groupBy("batch").agg(F.avg(m).alias("margin_loss"))
+    both = info_nce(triples.select("batch", "i", "q", "p"), temperature).withColumnRenamed("loss", "nce").join(hinge, "batch")
+    return both.select("batch", "nce", F.round("margin_loss", 6).alias("margin_loss"), F.round(combined_loss(F.col("nce"), F.col("margin_loss"), weight), 6).alias("loss"))
+
+
 def best_epoch(history: DataFrame) -> DataFrame:
     return history.agg(F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"), F.min("val_loss").alias("best_val_loss"))
 

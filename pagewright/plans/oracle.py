@@ -45,7 +45,7 @@ CTE["v_df"] = "SELECT doc_id, k, count(DISTINCT page_idx) AS n_pages FROM v_line
 CTE["v_boiler"] = "SELECT doc_id, k FROM v_df JOIN (SELECT doc_id, count(*) AS doc_pages FROM v_pages GROUP BY 1) USING (doc_id) WHERE n_pages >= 8 AND n_pages / doc_pages >= 0.08"
 CTE["v_kept"] = f"SELECT doc_id, page_idx, string_agg(line, {NL} ORDER BY pos) AS ocr_text_clean FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, k ORDER BY pos) AS nth FROM v_lines) l WHERE nth = 1 AND k NOT IN ({', '.join(map(quoted, L.HEADER_LINES))}) AND NOT EXISTS (SELECT 1 FROM v_boiler b WHERE b.doc_id = l.doc_id AND b.k = l.k) GROUP BY ALL"
 CTE["v_cleaned"] = "SELECT p.doc_id, p.page_idx, coalesce(c.ocr_text_clean, '') AS ocr_text_clean, length(p.ocr_text) AS ocr_text_len, length(coalesce(c.ocr_text_clean, '')) AS ocr_text_clean_len FROM v_pages p LEFT JOIN v_kept c USING (doc_id, page_idx)"
-CTE["v_index"] = "SELECT printf('%s:%04d', p.doc_id, p.page_idx) AS page_id, p.doc_id, p.page_idx, 'm' AS origin, CASE WHEN p.src_id % 7 <> 0 THEN 'o' END AS origin_ocr, 'd' AS origin_doc, count(*) OVER (PARTITION BY p.doc_id) AS page_count, p.src_id % 7 <> 0 AND length(ocr_text) > 0 AS has_ocr_text, p.src_id % 7 <> 0 AND p.src_id % 5 <> 0 AND length(ocr_text) > 0 AS has_clean_text, p.src_id % 7 <> 0 AND p.src_id % 11 = 0 AS has_ocr_error FROM v_pages p"
+CTE["v_index"] = "SELECT printf('%s:%04d', p.doc_id, p.page_idx) AS page_id, p.doc_id, p.page_idx, 'm' AS origin, 'o' AS origin_ocr, 'd' AS origin_doc, count(*) OVER (PARTITION BY p.doc_id) AS page_count, length(ocr_text) > 0 AS has_ocr_text, length(ocr_text) > 0 AS has_clean_text, contains(ocr_text, '***') OR contains(ocr_text, '%%%') AS has_ocr_error FROM v_pages p"
 
 _COUNT = lambda pattern, opts="": f"len(regexp_extract_all(ocr_text_clean, {quoted(opts + pattern)}))"
 CTE["v_feat"] = rf"""SELECT *, {_COUNT(rf'\b{UNIT}\b', '(?i)')} AS units, {_COUNT(r'\b\d+(\.\d+)?\b')} AS numbers, {_COUNT('[•·▪◦]')} AS bullets,
@@ -55,7 +55,7 @@ CTE["v_feat"] = rf"""SELECT *, {_COUNT(rf'\b{UNIT}\b', '(?i)')} AS units, {_COUN
 CTE["v_scored"] = """SELECT *, round(CASE WHEN ocr_text_clean_len < 50 THEN -5.0 WHEN ocr_text_clean_len < 120 THEN -1.0 WHEN ocr_text_clean_len <= 3500 THEN 3.0 ELSE 1.0 END::DOUBLE + CASE WHEN num_boxes >= 20 THEN 3.0 WHEN num_boxes >= 8 THEN 2.0 ELSE 0.0 END::DOUBLE
     + least(units, 6)::DOUBLE * 0.6::DOUBLE + least(numbers, 20)::DOUBLE * 0.08::DOUBLE + least(bullets, 8)::DOUBLE * 0.25::DOUBLE + least(len(high), 8)::DOUBLE * 1.2::DOUBLE - least(len(low), 6)::DOUBLE * 1.5::DOUBLE + least(titles, 3)::DOUBLE * 0.4::DOUBLE - CASE WHEN is_strong_low_value THEN 4.0 ELSE 0.0 END::DOUBLE - CASE WHEN cert THEN 2.0 ELSE 0.0 END::DOUBLE, 6) AS page_score,
     concat_ws(';', CASE WHEN ocr_text_clean_len < 50 THEN 'too_short' WHEN ocr_text_clean_len < 120 THEN 'short' WHEN ocr_text_clean_len <= 3500 THEN 'good_length' ELSE 'very_long' END, CASE WHEN num_boxes >= 8 THEN 'dense_boxes' END, CASE WHEN num_boxes >= 20 THEN 'very_dense_boxes' END,
-    CASE WHEN units > 0 THEN 'units=' || units END, CASE WHEN numbers >= 5 THEN 'numbers=' || numbers END, CASE WHEN bullets > 0 THEN 'bullets=' || bullets END, CASE WHEN len(high) > 0 THEN 'high_value=' || array_to_string(high[1:4], ',') END, CASE WHEN len(low) > 0 THEN 'low_value=' || array_to_string(low[1:4], ',') END,
+    CASE WHEN units > 0 THEN 'unit_hits=' || units END, CASE WHEN numbers >= 5 THEN 'number_hits=' || numbers END, CASE WHEN bullets > 0 THEN 'bullet_hits=' || bullets END, CASE WHEN len(high) > 0 THEN 'high_value=' || array_to_string(high[1:4], ',') END, CASE WHEN len(low) > 0 THEN 'low_value=' || array_to_string(low[1:4], ',') END,
     CASE WHEN titles > 0 THEN 'upper_titles=' || titles END, CASE WHEN is_strong_low_value THEN 'legal_page' END, CASE WHEN cert THEN 'certificate_page' END) AS score_reasons FROM v_feat"""
 CTE["v_quota"] = f"SELECT doc_id, greatest({LOW}, least({HIGH}, round_even({TOTAL}.0::DOUBLE * n / sum(n) OVER (), 0)::BIGINT))::BIGINT AS selected_quota FROM (SELECT doc_id, count(*) AS n FROM v_clean WHERE ocr_text_clean_len > 0 GROUP BY 1)"
 CTE["v_sub"] = f"SELECT s.*, q.selected_quota, page_type = 'navigation' AS nav, row_number() OVER (PARTITION BY doc_id, page_type = 'navigation' ORDER BY {BEST}) AS in_kind, greatest(2, ceil(q.selected_quota * 0.1)) AS cap FROM v_scored s JOIN v_quota q USING (doc_id) WHERE NOT is_strong_low_value"
@@ -133,7 +133,7 @@ CTE["v_lab"] = "SELECT doc_id AS query_id, 'q' || quality AS query_type FROM lab
 CTE["v_tri"] = "SELECT a.vec_id AS i, a.embedding AS q, b.embedding AS p, c.embedding AS n FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2"
 CTE["v_sim"] = f"SELECT a.i // 16 AS batch, a.i, b.i AS j, {DOT('a.q', 'b.p')} / 0.07::DOUBLE AS s FROM v_tri a JOIN v_tri b ON a.i // 16 = b.i // 16"
 _HALF = "(SELECT batch, avg(l) AS l FROM (SELECT batch, {0}, max(s) + ln(sum(exp(s - m))) - max(s) FILTER (i = j) AS l FROM (SELECT *, max(s) OVER (PARTITION BY batch, {0}) AS m FROM v_sim) GROUP BY batch, {0}) GROUP BY batch)"
-CTE["v_raw"] = "SELECT query_id, page_idx, CASE query_id % 6 WHEN 0 THEN '<one concise answer> ' || s || ' </one concise answer>' || chr(10) || '<confidence>0.' || c || '</confidence>' WHEN 1 THEN 'Answer: ' || s || chr(10) || 'Confidence: ' || c WHEN 2 THEN s || chr(10) || lower(s) || chr(10) || 'confidence 0.' || c WHEN 3 THEN c WHEN 4 THEN 'Confidence: 0.' || c ELSE 'It is common knowledge. ' || s END AS raw, CASE WHEN page_idx % 2 = 0 THEN 'What is the rated payload?' ELSE 'Where is it?' END AS question FROM (SELECT doc_id * 100 + page_idx AS query_id, page_idx, substr(text, 1, 80) AS s, ((doc_id * 100 + page_idx) % 97)::VARCHAR AS c FROM v_turns)"
+CTE["v_raw"] = "SELECT query_id, page_idx, CASE query_id % 6 WHEN 0 THEN '<one concise answer> ' || s || ' </one concise answer>' || chr(10) || '<confidence>0.' || c || '</confidence>' WHEN 1 THEN 'Answer: ' || s || chr(10) || 'Confidence: ' || c WHEN 2 THEN s || chr(10) || lower(s) || chr(10) || 'confidence 0.' || c WHEN 3 THEN c WHEN 4 THEN 'Confidence: 0.' || c ELSE 'It is common knowledge. ' || s END AS raw, CASE WHEN page_idx % 2 = 0 THEN 'What is the rated payload?' ELSE 'Where is it?' END AS question FROM (SELECT doc_id * 100 + page_idx AS query_id, page_idx, text AS s, ((doc_id * 100 + page_idx) % 97)::VARCHAR AS c FROM v_turns)"
 _CONF = "CASE WHEN coalesce(said, '') = '' THEN 0.2::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN said::DOUBLE > 1 THEN said::DOUBLE / 100 ELSE said::DOUBLE END)) END"
 CTE["v_conf"] = f"SELECT *, {_CONF} AS confidence FROM (SELECT *, regexp_extract(raw, '(?i)confidence[^0-9]{{0,10}}([0-9]+(?:\\.[0-9]+)?)', 1) AS said FROM v_raw)"
 
@@ -191,8 +191,23 @@ _BAD = lambda c, t: holds(f"coalesce({c}, '')", t)
 _KEEPQ = f"NOT (({_BAD('anchor_heading', L.BAD_HEADINGS)} AND query_source IN ('layout_heading', 'fact_heading', 'generic_heading')) OR query_source IN ('generic_topic', 'generic_heading') OR {_BAD('query_zh', L.BROAD_ZH)} OR {_BAD('query_en', L.BROAD_EN)} OR (page_type = 'navigation' AND query_source NOT IN ('navigation_emstop', 'navigation_heading')) OR (query_source IN ('semantic_keyword', 'semantic_topic') AND {_BAD('anchor_heading', L.WEAK_HEADINGS)}))"
 _PRIORITY = "CASE query_source " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in L.PRIORITY.items()) + " ELSE 99 END"
 _PROMPT = ", ".join(f"md5({quoted(L.PROMPT_BASE + chr(10) + L.PROMPT_MODES[m] + 'Question: ')} || question) AS {m}" for m in ("per_page", "joint", "stitched", "single"))
-_OCR_T = f"list_transform(string_split(ocr_text, {NL}), lambda x: {STRIP('substr(x, 1, 20)')})"
+_OCR_T = f"list_transform(string_split(ocr_text, {NL}), lambda x: {STRIP('x')})"
 _FIRST = lambda hits, k, src: f"SELECT query_id, neg_doc_id, neg_page_idx, '{src}' AS neg_source FROM (SELECT h.query_id, h.doc_id AS neg_doc_id, h.page_idx AS neg_page_idx, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS nth FROM {hits} h JOIN v_gold g USING (query_id) WHERE h.rank <= {k} AND NOT (h.doc_id = g.gold_doc_id AND h.page_idx = g.gold_page_idx)) WHERE nth = 1"
+_TRAIN = lambda name, parts: f"SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, pos_doc_id, pos_page_idx, neg_doc_id, neg_page_idx ORDER BY part, sample_id) AS nth FROM ({' UNION ALL BY NAME '.join(f'SELECT * EXCLUDE part, {i} AS part FROM ({p})' if 'v_train' in p else f'SELECT *, {i} AS part FROM ({p})' for i, p in enumerate(parts))})) WHERE nth = 1"
+_PAIR = lambda negs, suffix=None: f"SELECT n.query_id || '_' || {quoted(suffix) if suffix else 'n.neg_source'} AS sample_id, n.query_id, g.query_en, g.query_type, g.gold_doc_id AS pos_doc_id, g.gold_page_idx AS pos_page_idx, n.neg_doc_id, n.neg_page_idx, n.neg_source FROM ({negs}) n JOIN v_gold g USING (query_id)"
+_GADJ = _ADJ.format(g="v_gold", t="v_pages")
+_GPREV = _ONE.format(_GADJ)
+_GBLIND = "SELECT query_id, gold_doc_id AS neg_doc_id, CASE WHEN gold_page_idx > 0 THEN gold_page_idx - 1 ELSE gold_page_idx + 1 END AS neg_page_idx, CASE WHEN gold_page_idx > 0 THEN 'adjacent_prev' ELSE 'adjacent_next' END AS neg_source FROM v_gold"
+_GFAR = "SELECT query_id, neg_doc_id, neg_page_idx, 'same_doc_far' AS neg_source FROM (SELECT g.query_id, t.doc_id AS neg_doc_id, t.page_idx AS neg_page_idx, row_number() OVER (PARTITION BY g.query_id ORDER BY abs(t.page_idx - g.gold_page_idx) DESC, t.page_idx) AS nth FROM v_gold g JOIN v_pages t ON t.doc_id = g.gold_doc_id AND t.page_idx <> g.gold_page_idx) WHERE nth = 1"
+_GBOTH = f"SELECT * REPLACE ('gold_' || neg_source AS neg_source) FROM ({_GADJ})"
+_VISION = _PAIR(_FIRST("(SELECT * FROM v_max_p WHERE rank <= 5)", 10, "vision_hard"), "vision")
+_BM25_NEG = _PAIR(_FIRST("v_lex_p", 10, "bm25_hard"), "bm25")
+CTE["v_train_v1"] = _TRAIN("v1", [_BM25_NEG, _VISION, _PAIR(_GBLIND)])
+CTE["v_train_large"] = _TRAIN("large", [_BM25_NEG, _PAIR(_GPREV), _PAIR(_GFAR)])
+CTE["v_train_v2"] = _TRAIN("v2", ["SELECT * FROM v_train_large", _VISION])
+CTE["v_train_v3"] = f"SELECT * FROM v_train_v2 WHERE NOT ({_BAD('query_en', L.COPIED_EN)} OR {_BAD('query_en', L.COPIED_ZH)} OR {_BAD('query_en', L.WEAK_TITLES)})"
+CTE["v_train_v4"] = _TRAIN("v4", ["SELECT * FROM v_train_v3", *[_PAIR(_FIRST(f"v_{n}_p", 5, s)) for n, s in (("lex", "gold_bm25"), ("dense", "gold_siglip_v1"), ("two", "gold_two_stage"))], _PAIR(_GBOTH)])
+CTE["v_batch"] = f"SELECT batch, nce, margin_loss, round(nce + 0.25::DOUBLE * margin_raw, 6) AS loss FROM (SELECT a.batch, round((a.l + b.l) / 2, 6) AS nce FROM {_HALF.format('i')} a JOIN {_HALF.format('j')} b USING (batch)) JOIN (SELECT i // 16 AS batch, avg(greatest(0.0::DOUBLE, 0.2::DOUBLE - {DOT('q', 'p')} + {DOT('q', 'n')})) AS margin_raw, round(avg(greatest(0.0::DOUBLE, 0.2::DOUBLE - {DOT('q', 'p')} + {DOT('q', 'n')})), 6) AS margin_loss FROM v_tri GROUP BY 1) USING (batch)"
 _POOL = ", ".join(f"round(list_sum(list_transform(range(0, 8), lambda j: (1 + j / 7.0::DOUBLE) * embedding[j * 8 + {i + 1}]::DOUBLE)) / 12.0::DOUBLE, 6) AS v{i}" for i in range(8))
 
 SQL = {k: sql(v) for k, v in {
@@ -200,10 +215,10 @@ SQL = {k: sql(v) for k, v in {
     "nonempty_filter": "SELECT doc_id, page_idx, ocr_text_clean_len::BIGINT AS ocr_text_clean_len FROM v_clean WHERE ocr_text_clean_len > 0",
     "line_split_stats": "SELECT doc_id, k AS key, n_pages FROM v_df",
     "clean_lines": "SELECT doc_id, page_idx, md5(ocr_text_clean) AS text_md5, ocr_text_len, ocr_text_clean_len, ocr_text_len - ocr_text_clean_len AS ocr_reduction FROM v_cleaned",
-    "clean_summary": "SELECT count(*) AS n_pages, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (ocr_text_len > 0) AS with_text, count(*) FILTER (ocr_text_clean_len > 0) AS with_clean_text, round(avg(ocr_text_clean_len), 6) AS mean_clean_len, round(avg(ocr_text_len - ocr_text_clean_len), 6) AS mean_reduction FROM v_cleaned",
+    "clean_summary": "SELECT count(*) AS rows, count(DISTINCT doc_id) AS documents, count(*) FILTER (ocr_text_len > 0) AS non_empty_raw_pages, count(*) FILTER (ocr_text_clean_len > 0) AS non_empty_clean_pages, (SELECT count(*) FROM v_index WHERE has_ocr_error) AS error_pages, round(avg(ocr_text_clean_len), 6) AS avg_clean_length, round(avg(ocr_text_len - ocr_text_clean_len), 6) AS avg_reduction FROM v_cleaned",
     "page_index_left_join": "SELECT * FROM v_index",
-    "page_index_summary": "SELECT count(*) AS n_pages, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (has_ocr_text) AS with_text, count(*) FILTER (has_clean_text) AS with_clean_text, count(*) FILTER (has_ocr_error) AS with_error, string_agg(DISTINCT doc_id, ',' ORDER BY doc_id) AS doc_ids FROM v_index",
-    "ocr_json_flatten": f"SELECT src_id, array_to_string(list_filter(({_OCR_T})[1:3], lambda x: x <> ''), {NL}) AS ocr_text, round(coalesce(list_avg(list_transform(list_filter(list_zip(({_OCR_T})[1:3], (string_split(ocr_text, {NL}))[1:3]), lambda z: z[1] <> ''), lambda z: round(length(z[2]) / 1000, 6))), 0), 6) AS avg_score, 2::BIGINT AS num_boxes FROM v_pages",
+    "page_index_summary": "SELECT count(DISTINCT doc_id) AS documents, count(*) AS pages, count(*) FILTER (has_ocr_text) AS pages_with_ocr_text, count(*) FILTER (has_clean_text) AS pages_with_clean_text, count(*) FILTER (has_ocr_error) AS pages_with_ocr_error, to_json(list(DISTINCT doc_id ORDER BY doc_id))::VARCHAR AS doc_ids FROM v_index",
+    "ocr_json_flatten": f"SELECT src_id, array_to_string(list_filter({_OCR_T}, lambda x: x <> ''), {NL}) AS ocr_text, round(coalesce(list_avg(list_transform(list_filter(list_zip({_OCR_T}, string_split(ocr_text, {NL})), lambda z: z[1] <> ''), lambda z: round(length(z[2]) / 1000, 6))), 0), 6) AS avg_score, 2::BIGINT AS num_boxes FROM v_pages",
     "page_previews": f"SELECT src_id, replace(substr(ocr_text, 1, 300), {NL}, ' | ') AS preview FROM v_pages",
     "upper_case_search": "SELECT src_id, doc_id, page_idx FROM v_pages WHERE doc_id IN ('src1', 'src2') ORDER BY src_id LIMIT 50",
     "keyword_hits": f"SELECT src_id, len({FOUND(_T, LEX.high)}) AS n_hits, array_to_string(({FOUND(_T, LEX.high)})[1:4], ',') AS first_hits, coalesce(({FOUND(_T, LEX.semantic_keywords)})[1], '') AS first_semantic FROM v_clean",
@@ -233,10 +248,16 @@ SQL = {k: sql(v) for k, v in {
     "label_directives": f"SELECT q.query_id, CASE query_id % 4 WHEN 0 THEN coalesce(h.doc_id, '') WHEN 1 THEN 'src' || query_id ELSE '' END AS gold_doc_id, CASE query_id % 4 WHEN 0 THEN coalesce(h.page_idx, -1) WHEN 1 THEN 12 ELSE -1 END AS gold_page_idx, CASE WHEN query_id % 4 = 0 AND h.doc_id IS NULL THEN 'skip' ELSE {_DIRECTIVE} END AS label_source FROM v_queries q LEFT JOIN v_dense_p h ON h.query_id = q.query_id AND h.rank = q.query_id % 5 + 1 AND h.rank <= 5".replace("CASE query_id", "CASE q.query_id").replace("'src' || query_id", "'src' || q.query_id").replace("(query_id %", "(q.query_id %").replace("WHEN query_id", "WHEN q.query_id"),
     "first_wrong": _FIRST("v_lex_p", 10, "bm25_hard"),
     "vision_negatives": f"SELECT w.*, h.score AS neg_score FROM ({_FIRST('v_max_p', 5, 'vision_hard')}) w JOIN v_max_p h ON h.query_id = w.query_id AND h.doc_id = w.neg_doc_id AND h.page_idx = w.neg_page_idx",
-    "adjacent_prev_else_next": _ONE.format(_ADJ.format(g="(SELECT * FROM v_tgold WHERE query_id % 3 > 0)", t="(SELECT * FROM v_turns WHERE NOT (page_idx = 0 AND doc_id % 2 = 0))")),
+    "adjacent_prev_else_next": _ONE.format("SELECT * FROM v_both"),
     "adjacent_both": "SELECT * FROM v_both",
     "adjacent_unchecked": "SELECT query_id, gold_doc_id AS neg_doc_id, CASE WHEN gold_page_idx > 0 THEN gold_page_idx - 1 ELSE gold_page_idx + 1 END AS neg_page_idx, CASE WHEN gold_page_idx > 0 THEN 'adjacent_prev' ELSE 'adjacent_next' END AS neg_source FROM v_tgold",
     "same_doc_far": "SELECT * FROM v_far",
+    **{f"trainset_{s}": f"SELECT sample_id, query_id, pos_doc_id, pos_page_idx, neg_doc_id, neg_page_idx, neg_source, query_type FROM v_train_{s}" for s in ("v1", "large", "v2", "v3", "v4")},
+    "combined_loss": "SELECT * FROM v_batch",
+    "best_epoch": "SELECT arg_min(epoch, (val_loss, epoch)) AS best_epoch, min(val_loss) AS best_val_loss FROM (SELECT batch % 5 + 1 AS epoch, round(avg(loss), 6) AS val_loss FROM v_batch GROUP BY 1)",
+    "confirmed_labels": "SELECT doc_id AS query_id, 'confirmed' AS label_status FROM labels WHERE quality = 1",
+    "missing_images": "SELECT count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM v_turns t WHERE t.role = 'assistant' AND t.doc_id = pos_doc_id AND t.page_idx = pos_page_idx)) AS missing_pos_images, count(*) FILTER (NOT EXISTS (SELECT 1 FROM v_turns t WHERE t.role = 'assistant' AND t.doc_id = neg_doc_id AND t.page_idx = neg_page_idx)) AS missing_neg_images FROM v_pairs",
+    "stitched_sizes": "SELECT doc_id, sum(CASE WHEN height = tall THEN width ELSE floor(width * (tall / height))::BIGINT END)::BIGINT AS width, max(tall) AS height FROM (SELECT *, max(height) OVER (PARTITION BY doc_id) AS tall FROM (SELECT doc_id, (600 + length(text) % 7 * 40)::BIGINT AS width, (800 + length(text) % 5 * 100)::BIGINT AS height FROM v_turns)) GROUP BY doc_id",
     "trainset_union_dedup_first": "SELECT sample_id, query_id, pos_doc_id, pos_page_idx, neg_doc_id, neg_page_idx, pos_image_path, neg_image_path, neg_source, query_type FROM v_pairs",
     "trainset_pattern_filter": f"SELECT query_id, query_source FROM v_gen WHERE NOT ({_BAD('query_en', L.COPIED_EN)} OR {_BAD('query_zh', L.COPIED_ZH)} OR {_BAD('query_en', L.WEAK_TITLES)} OR {_BAD('query_zh', L.WEAK_TITLES)})",
     "pairs_per_query": "SELECT count(*) AS n_pairs, count(DISTINCT query_id) AS n_queries, round_even(count(*)::DOUBLE / count(DISTINCT query_id), 2) AS pairs_per_query FROM v_pairs",

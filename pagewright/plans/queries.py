@@ -53,13 +53,18 @@ def clean_lines(spark, sf):
 
 @query
 def clean_summary(spark, sf):
-    return clean.clean_summary(clean.clean_pages(V.pages(spark, sf)))
+    return clean.clean_summary(clean.clean_pages(V.pages(spark, sf).withColumn("error", _error())))
+
+
+def _error():
+    """Pages of symbols stand for pages whose recognition failed."""
+    return F.when(F.col("ocr_text").contains("***") | F.col("ocr_text").contains("%%%"), "failed").otherwise("")
 
 
 def _index(spark, sf):
     p = V.pages(spark, sf)
     manifest = p.select(T.page_key(F.col("doc_id"), F.col("page_idx")).alias("page_id"), "doc_id", "page_idx", F.lit("m").alias("origin"))
-    ocr = p.where("src_id % 7 <> 0").select("doc_id", "page_idx", "ocr_text", F.when(F.col("src_id") % 5 == 0, "").otherwise(F.col("ocr_text")).alias("ocr_text_clean"), F.when(F.col("src_id") % 11 == 0, "failed").otherwise("").alias("error"), F.lit("o").alias("origin"))
+    ocr = p.select("doc_id", "page_idx", "ocr_text", F.col("ocr_text").alias("ocr_text_clean"), _error().alias("error"), F.lit("o").alias("origin"))
     docs = p.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.lit("d").alias("origin"))
     return clean.build_page_index(manifest, ocr, docs)
 
@@ -71,15 +76,15 @@ def page_index_left_join(spark, sf):
 
 @query
 def page_index_summary(spark, sf):
-    return clean.page_index_summary(_index(spark, sf))
+    return clean.page_index_summary(_index(spark, sf)).withColumn("doc_ids", F.to_json("doc_ids"))
 
 
 @query
 def ocr_json_flatten(spark, sf):
     p = V.pages(spark, sf)
     lines = F.split("ocr_text", "\n")
-    texts = F.to_json(F.transform(lines, lambda x: F.substring(x, 1, 20)))
-    scores = F.to_json(F.transform(F.slice(lines, 1, 3), lambda x: F.round(F.length(x) / 1000, 6)))
+    texts = F.to_json(lines)
+    scores = F.to_json(F.transform(lines, lambda x: F.round(F.length(x) / 1000, 6)))
     body = F.concat(F.lit('{"rec_texts":'), texts, F.lit(',"rec_scores":'), scores, F.lit(',"rec_boxes":[[1,2],[3,4]]}'))
     wrapped = F.when(F.col("page_idx") % 2 == 0, F.concat(F.lit('{"res":'), body, F.lit("}"))).otherwise(body)
     r = p.select("src_id", clean.flatten_ocr(wrapped).alias("r"))
@@ -173,7 +178,7 @@ def filter_queries_cap3(spark, sf):
 
 
 def _corpus(spark, sf):
-    return V.table(spark, sf, "documents").select(F.col("doc_id").alias("src_id"), "text")
+    return V.spread(V.table(spark, sf, "documents").select(F.col("doc_id").alias("src_id"), "text"))
 
 
 def _lexical(spark, sf, k=5):
@@ -186,7 +191,7 @@ def _dense(spark, sf, k=5):
 
 @query
 def token_stats(spark, sf):
-    idf = rank.term_idf(rank.document_frequency(_corpus(spark, sf), "text"), rank.corpus_stats(_corpus(spark, sf), "text"))
+    idf = rank.term_idf(*rank.corpus_terms(_corpus(spark, sf), "text"))
     return idf.select("term", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -311,7 +316,7 @@ def vision_negatives(spark, sf):
 
 @query
 def adjacent_prev_else_next(spark, sf):
-    return negatives.adjacent_negatives(V.turn_gold(spark, sf).where("query_id % 3 > 0"), V.turns(spark, sf).where("not (page_idx = 0 and doc_id % 2 = 0)"))
+    return negatives.adjacent_negatives(V.turn_gold(spark, sf), V.turns(spark, sf))
 
 
 @query
@@ -345,6 +350,52 @@ def trainset_pattern_filter(spark, sf):
     return g.where(negatives.keeps_pair()).select("query_id", "query_source")
 
 
+def _vision(spark, sf):
+    return _run(spark, sf, QUERIES["maxsim_topk"](spark, sf))
+
+
+def _trainset(spark, sf, stage):
+    """A stage of the pair table over the passages, each after the first on top of what the stages before it gave."""
+    if stage is None:
+        return None
+    before = {"v1": None, "large": None, "v2": "large", "v3": "v2", "v4": "v3"}[stage]
+    runs = {"lexical": _run(spark, sf, _lexical(spark, sf, 10)), "vision": _vision(spark, sf), "dense": _run(spark, sf, _dense(spark, sf)), "both": _run(spark, sf, _two_stage(spark, sf))}
+    return negatives.trainset(stage, V.gold(spark, sf), V.page_numbers(spark, sf), base=_trainset(spark, sf, before), **runs)
+
+
+def _stage(stage):
+    def run(spark, sf):
+        return _trainset(spark, sf, stage).select("sample_id", *negatives.PAIR_KEY, "neg_source", "query_type")
+
+    run.__name__ = f"trainset_{stage}"
+    return query(run)
+
+
+for _name in ("v1", "large", "v2", "v3", "v4"):
+    _stage(_name)
+
+
+@query
+def missing_images(spark, sf):
+    """Images of the pairs that are not among the files; the answers' pages stand for the files that there are."""
+    t = V.turns(spark, sf).where("role = 'assistant'")
+    files = t.select(T.page_path("data/pages", F.col("doc_id").cast("string"), F.col("page_idx")).alias("path"))
+    return training.summarize_pairs(_pairs(spark, sf), files).select("rows", "missing_pos_images", "missing_neg_images")
+
+
+@query
+def confirmed_labels(spark, sf):
+    said = V.table(spark, sf, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("quality") == 1, "confirmed").otherwise("pending").alias("label_status"))
+    return S.confirmed(said).select("query_id", "label_status")
+
+
+@query
+def stitched_sizes(spark, sf):
+    """Size of the picture of all pages of a conversation side by side; a page's size follows from its text's."""
+    t = V.turns(spark, sf).select("doc_id", "page_idx", (F.lit(600) + F.length("text") % 7 * 40).alias("width"), (F.lit(800) + F.length("text") % 5 * 100).alias("height"))
+    return longs(answers.stitched_size(t), "width", "height")
+
+
 @query
 def pairs_per_query(spark, sf):
     return training.pairs_per_query(_pairs(spark, sf))
@@ -421,6 +472,22 @@ def info_nce(spark, sf):
     return training.info_nce(_triples(spark, sf).select(F.floor(F.col("i") / 16).alias("batch"), "i", "q", "p"))
 
 
+def _batches(spark, sf):
+    return _triples(spark, sf).withColumn("batch", F.floor(F.col("i") / 16))
+
+
+@query
+def combined_loss(spark, sf):
+    return training.batch_losses(_batches(spark, sf))
+
+
+@query
+def best_epoch(spark, sf):
+    """Five batches in turn stand for the epochs of a run."""
+    by = training.batch_losses(_batches(spark, sf)).groupBy((F.col("batch") % 5 + 1).alias("epoch")).agg(F.round(F.avg("loss"), 6).alias("val_loss"))
+    return training.best_epoch(by)
+
+
 @query
 def pos_weighted_pool(spark, sf):
     e = V.table(spark, sf, "embeddings").select("vec_id", training.position_pool(_parts(F.col("embedding"))).alias("v"))
@@ -432,7 +499,7 @@ def pos_weighted_pool(spark, sf):
 
 def _answers(spark, sf):
     """Turns dressed up as raw answers of a model: tags, labels, confidence lines, repeats, bare numbers."""
-    t = V.turns(spark, sf).select((F.col("doc_id") * 100 + F.col("page_idx")).alias("query_id"), "page_idx", F.substring("text", 1, 80).alias("s"))
+    t = V.turns(spark, sf).select((F.col("doc_id") * 100 + F.col("page_idx")).alias("query_id"), "page_idx", F.col("text").alias("s"))
     s, k, c = F.col("s"), F.col("query_id") % 6, (F.col("query_id") % 97).cast("string")
     raw = (
         F.when(k == 0, F.concat(F.lit("<one concise answer> "), s, F.lit(" </one concise answer>\n<confidence>0."), c, F.lit("</confidence>")))

@@ -72,6 +72,36 @@ def load_images(spark: SparkSession, folder: str, decoder: Callable[[], Callable
     return files.select("path", decoded("content").alias("image"))
 
 
+def stitch(groups: DataFrame, stitcher: Callable[[], Callable[[list[str], str], str]], folder: str) -> DataFrame:
+    """groups (query_id, image_paths) with stitched_path: what stitcher()(paths, target) gives, one picture a query; null where there are no pages."""
+
+    @F.pandas_udf("string")
+    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        join = stitcher()
+        for ids, paths in batches:
+            yield pd.Series([join(list(p), f"{folder}/{i}.png") if p is not None and len(p) else None for i, p in zip(ids, paths)], dtype=object)
+
+    return groups.withColumn("stitched_path", made(F.col("query_id").cast("string"), "image_paths"))
+
+
+def generate(asked: DataFrame, generator: Callable[[], Callable[[list[str], str], str]], images: str = "image_paths", prompt: str = "prompt", out: str = "raw_answer") -> DataFrame:
+    """asked with what generator()(image paths, prompt) answers, trimmed. The model is loaded once per partition; a call that fails gives null and the error in `error`."""
+
+    @F.pandas_udf("answer string, error string")
+    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = generator()
+        for paths, prompts in batches:
+            rows = []
+            for p, q in zip(paths, prompts):
+                try:
+                    rows.append((model(list(p) if p is not None else [], q).strip(), None))
+                except Exception as e:  # one page that can't be read mustn't end the job
+                    rows.append((None, str(e)))
+            yield pd.DataFrame(rows, columns=["answer", "error"])
+
+    return asked.withColumn("_r", answers(images, prompt)).withColumns({out: F.col("_r.answer"), "error": F.col("_r.error")}).drop("_r")
+
+
 def encode(df: DataFrame, encoder: Callable[[], Callable[[list[str]], list]], column: str, out: str = "embedding", batch: int = 16) -> DataFrame:
     """df with the L2-normalised vectors that encoder()(inputs) gives for a column, `batch` inputs at a time."""
 

@@ -66,6 +66,34 @@ def restrict(df: DataFrame, order: list[str], limit: int | None = None, **equal)
     return df.orderBy(*order).limit(limit) if limit is not None else df
 
 
+def confirmed(df: DataFrame, column: str = "label_status") -> DataFrame:
+    """Rows that an annotator has confirmed; a blank or missing status is none."""
+    return df.where(F.col(column) == "confirmed")
+
+
+def asked(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """(query_id, query_en) of questions typed in, blank ones left out, in their order: the source of an interactive search."""
+    return spark.createDataFrame([(i, t.strip()) for i, t in enumerate(t for t in texts if t.strip())], "query_id long, query_en string")
+
+
+def labelled(spark: SparkSession, said: dict[str, str]) -> DataFrame:
+    """(query_id, directive) of an annotator's answers, as evaluate.apply_labels takes them."""
+    return spark.createDataFrame(list(said.items()), "query_id string, directive string")
+
+
+def save_model(spark: SparkSession, path: str, config: dict, weights: dict[str, bytes]) -> None:
+    """A model's configuration (as JSON) and its weights by name, as one table that any executor can read."""
+    rows = [("config", json.dumps(config, sort_keys=True, ensure_ascii=False), None), *[(n, None, bytearray(b)) for n, b in sorted(weights.items())]]
+    spark.createDataFrame(rows, "name string, config string, weights binary").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str, **defaults) -> tuple[dict, dict[str, bytes]]:
+    """(configuration, weights) of save_model; `defaults` stand for what the configuration doesn't say."""
+    rows = spark.read.parquet(path).collect()  # one row for each array of one model
+    config = next(json.loads(r["config"]) for r in rows if r["config"] is not None)
+    return defaults | config, {r["name"]: bytes(r["weights"]) for r in rows if r["weights"] is not None}
+
+
 def fingerprint(path: Column, mtime_ns: Column, size: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("::", path, mtime_ns.cast("string"), size.cast("string")), 256), 1, 16)
 

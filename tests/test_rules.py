@@ -58,7 +58,7 @@ def test_boilerplate_at_its_edges(spark):
 def test_summary_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id string, ocr_text_len int, ocr_text_clean_len int, ocr_reduction int")
     r = clean.clean_summary(df).first()
-    assert (r.n_pages, r.mean_clean_len) == (0, 0.0)
+    assert (r.rows, r.error_pages, r.avg_clean_length) == (0, 0, 0.0)
 
 
 def test_flatten_ocr(spark):
@@ -83,7 +83,7 @@ def test_score_features(spark):
     # units 1, numbers 3 (wide digits count), bullets 2 (the middle dot is one), keyword 'overview', a title in capitals; 90° then a blank is no unit
     base = -5 + 0.6 + 0.24 + 0.5 + 1.2 + 0.4
     assert [g[0] for g in got] == [pytest.approx(base + x) for x in (0, 2, 2, 3)]
-    assert got[3][1] == "too_short;dense_boxes;very_dense_boxes;units=1;bullets=2;high_value=overview;upper_titles=1"
+    assert got[3][1] == "too_short;dense_boxes;very_dense_boxes;unit_hits=1;bullet_hits=2;high_value=overview;upper_titles=1"
 
 
 def test_page_type(spark):

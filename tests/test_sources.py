@@ -78,7 +78,7 @@ def test_rebuild_and_errors(spark):
     out, errors = pipeline.run(pipeline.data_rebuild(), {"manifest": manifest, "page_texts": texts, "documents": docs})
     assert not errors
     r = out["summary"].first()
-    assert (r.n_pages, r.with_text, r.with_clean_text) == (2, 1, 1)
+    assert (r.pages, r.pages_with_ocr_text, r.pages_with_clean_text) == (2, 1, 1)
     fail = [("x", lambda t: t["missing"]), ("y", lambda t: t["manifest"])]
     assert list(pipeline.run(fail, {"manifest": manifest})[0]) == ["manifest"]
     assert list(pipeline.run(fail, {"manifest": manifest}, keep_going=True)[0]) == ["manifest", "y"]
