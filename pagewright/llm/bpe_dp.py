@@ -42,17 +42,38 @@ class Pieces:
         keys = np.array([a * (1 << 32) + b for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_rank = keys[order], np.array(list(pairs.values()), dtype=np.int64)[order]
+        self.asked, self.asked_ok = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
+        self.pair_leads = np.zeros(1 << 20, dtype=bool)
+        self.pair_leads[self._lead(self.pair_keys)] = True
         hashes = np.zeros(self.n, dtype=np.uint64)
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             hashes[at] = word_hashes(np.array([pieces[i] for i in at], dtype=np.int64).reshape(len(at), n))[0][:, n]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # and which leading bits occur, so that most probes need no search
         for n in np.unique(lengths[usable]):
             at = np.flatnonzero((lengths == n) & usable)
             at = at[np.argsort(hashes[at])]
-            self.by_length[int(n)] = (hashes[at], at)
+            leads = np.zeros(1 << 16, dtype=bool)
+            leads[hashes[at] >> np.uint64(48)] = True
+            self.by_length[int(n)] = (hashes[at], at, leads)
+
+    @staticmethod
+    def _lead(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * _BASE) >> np.uint64(44)
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_stable, with a table of a million pairs asked for before, each in the place that its hash gives it."""
+        key = a.astype(np.int64) * (1 << 32) + b
+        slot = self._lead(key)
+        ok = self.asked_ok[slot]
+        new = np.flatnonzero(self.asked[slot] != key)
+        if len(new):
+            ok[new] = self._stable(a[new], b[new])
+            self.asked[slot[new]], self.asked_ok[slot[new]] = key[new], ok[new]
+        return ok
+
+    def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of pieces: does a followed by b stay so? Ids from n on are symbols outside the pieces; they merge with nothing."""
         ok = np.ones(len(a), dtype=bool)
         live = np.flatnonzero((a < self.n) & (b < self.n))
@@ -60,8 +81,10 @@ class Pieces:
         limit = np.full(len(live), _NONE, dtype=np.int64)
         while len(live):
             key = x * (1 << 32) + y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            merges = (self.pair_keys[at] == key) & (self.pair_rank[at] < limit)
+            merges = self.pair_leads[self._lead(key)]  # most pairs never merge, which a table of leading bits tells
+            if some := np.flatnonzero(merges).tolist():
+                at = np.minimum(np.searchsorted(self.pair_keys, key[some]), len(self.pair_keys) - 1)
+                merges[some] = (self.pair_keys[at] == key[some]) & (self.pair_rank[at] < limit[some])
             ok[live[merges]] = False
             mx, my = self.made[x], self.made[y]
             go = ~merges & ((mx >= 0) | (my >= 0))
@@ -85,13 +108,16 @@ class Pieces:
                 for k in range(min(i, self.longest), 0, -1):
                     if k not in self.by_length or not len(todo):
                         continue
-                    hashes, ids = self.by_length[k]
+                    hashes, ids, leads = self.by_length[k]
                     probe = h[todo, i] - h[todo, i - k] * power[k]
+                    hit = np.flatnonzero(leads[probe >> np.uint64(48)])
+                    probe = probe[hit]
                     at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                    hit = np.flatnonzero(hashes[at] == probe)
-                    if not len(hit):
+                    found = hashes[at] == probe
+                    if not found.any():
                         continue
-                    rows_hit, piece = todo[hit], ids[at[hit]]
+                    hit, at = hit[found], at[found]
+                    rows_hit, piece = todo[hit], ids[at]
                     if i > k:
                         before = last[rows_hit, i - k]
                         good = before >= 0

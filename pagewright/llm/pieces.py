@@ -34,6 +34,9 @@ class PieceCodec:
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         ordinary = [not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
+        scores = [sp.get_score(i) for i in range(n) if ordinary[i]]
+        if any(s > 0 or s != round(s) for s in scores):  # a BPE model's scores are its merges' ranks, a unigram model's are logarithms
+            raise ValueError("a BPE model is expected")
         if sp.encode(f"a  b{BLANK}", out_type=str)[0][:1] != BLANK or any(BLANK in s.lstrip(BLANK) for s, o in zip(names, ordinary) if o):
             raise ValueError("a model with a blank put in front, blanks kept and blanks only at the start of pieces is expected")
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
@@ -62,6 +65,7 @@ class PieceCodec:
         self.words_in = regex.compile(f"{BLANK}+[^{BLANK}{breaks}]*|[^{BLANK}{breaks}]+" + (f"|{breaks}" if breaks else ""))
         self.bytes_of = [bytes([int(s[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else s.replace(BLANK, " ").encode() for i, s in enumerate(names)]
         self.cache: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # words in the cache that decoding doesn't give back
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -100,15 +104,23 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each whole text, as the model's library gives them without begin and end."""
+        return self.encode_checked(texts)[0]
+
+    def encode_checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The same, and whether decoding gives each text back. A text is its words' bytes in a row, so each word is decoded once, when it is new."""
         split = [regex.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", BLANK + t.replace(" ", BLANK)) if UNSURE.search(t) else [BLANK + w for w in t.split(" ")] if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = {w for s in split for w in s if w not in self.cache}
+            self.lossy.clear()
+        new = set().union(*split) - self.cache.keys()
         parts = {w: self.words_in.findall(w) for w in new}
         coded = self._encode_words(list({p for x in parts.values() for p in x}))
-        self.cache.update((w, b"".join(coded[p] for p in x)) for w, x in parts.items())
         kind = np.uint16 if self.n < 65536 else np.uint32
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, s)), dtype=kind).astype(np.int32) for s in split]
+        self.cache.update((w, coded[w] if len(x) == 1 else b"".join(map(coded.__getitem__, x))) for w, x in parts.items())
+        known, spoken = self.cache, self.bytes_of
+        self.lossy.update(w for w in new if b"".join(map(spoken.__getitem__, np.frombuffer(known[w], dtype=kind).tolist())) != w.replace(BLANK, " ").encode("utf-8", "surrogatepass"))
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype=kind).astype(np.int32) for s in split]
+        return ids, [BLANK not in t and (not self.lossy or self.lossy.isdisjoint(s)) for s, t in zip(split, texts)]
 
     def decode(self, ids) -> str:
         """The text of ids; the blank that encoding put in front goes. Bytes that are no UTF-8 become U+FFFD."""
@@ -133,8 +145,8 @@ def encode_pieces(docs: DataFrame, path: str, text_column: str = "text") -> Data
         c = codec(path)
         for b in buffered((x.rename("text").to_frame() for x in batches)):
             texts = [t if isinstance(t, str) else "" for t in b["text"].tolist()]
-            ids = c.encode(texts)
-            yield pd.DataFrame({"piece_ids": ids, "n_pieces": np.array([len(x) for x in ids], dtype=np.int32), "round_trip": [c.decode(x.tolist()) == t for x, t in zip(ids, texts)]})
+            ids, same = c.encode_checked(texts)
+            yield pd.DataFrame({"piece_ids": ids, "n_pieces": np.array([len(x) for x in ids], dtype=np.int32), "round_trip": same})
 
     kept = docs.drop("piece_ids", "n_pieces", "round_trip")
     return kept.withColumn("__pieces_coded__", coded(F.col(text_column))).select(*[F.col(f"`{c}`") for c in kept.columns], "__pieces_coded__.*")
