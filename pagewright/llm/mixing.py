@@ -63,18 +63,32 @@ def draw(id_column: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with mix_tokens (words), mix_weight, mix_probability (fraction x weight, 1 at most), mix_sampled and mix_copies.
+def misses(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(margin, value, target, share): what share of the raked weight each value of a margin gets. A target that no cells can meet shows here."""
+    w = rake(cells, targets, rounds)
+    out = None
+    for m in MARGINS:
+        shares = ((targets or {}).get(m) if (targets or {}).get(m) is not None else margin_targets(cells, m)).select(F.col(m).alias("value"), F.col("share").alias("target"))
+        got = w.groupBy(F.col(m).alias("value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("held"))
+        total = got.agg(F.sum("held").alias("all"))
+        part = got.crossJoin(F.broadcast(total)).join(shares, "value", "full").select(F.lit(m).alias("margin"), "value", "target", F.coalesce(F.col("held") / F.col("all"), F.lit(0.0)).alias("share"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, fraction: float = FRACTION, seed: int = 7, id_column: str = "doc_id", text_column: str = "text", tokens: Column | None = None) -> DataFrame:
+    """docs with mix_tokens (`tokens`, for instance counted by operator 9, or else words), mix_weight, mix_probability (fraction x weight, 1 at most), mix_sampled and mix_copies.
 
-    mix_copies says how often a row is drawn: fraction x weight times on average, so cells whose probability is cut off
-    at 1 are repeated and the copies have the raked margins. It is 0 where mix_sampled is false, and 1 at most for a row
-    without tokens.
+    mix_due is fraction x weight, how often a row is drawn on average, and mix_copies how often it is drawn, that number
+    rounded up or down by a hash of the id. Cells whose probability is cut off at 1 are repeated, so the copies have the
+    raked margins, while rows that are sampled once at most can't reach them. mix_copies is 0 where mix_sampled is false,
+    and 1 at most for a row without tokens.
 
     A null source, language or topic is a value of its own, shown as ''. Null and empty texts have no tokens; they are
     sampled like others. Rows of one id are sampled alike. Columns of these names, and of the margins' helper names
     mix_source, mix_lang and mix_topic, are replaced."""
     named = {m: F.coalesce(c.cast("string"), F.lit("")) for m, c in zip(MARGINS, (F.col("source"), F.col("lang"), topic if topic is not None else topic_of(text_column)))}
-    rows = docs.withColumns({"mix_tokens": word_count(text_column), **{f"mix_{m}": c for m, c in named.items()}})
+    rows = docs.withColumns({"mix_tokens": F.coalesce(tokens.cast("long"), F.lit(0)) if tokens is not None else word_count(text_column), **{f"mix_{m}": c for m, c in named.items()}})
     cells = rows.groupBy(*[F.col(f"mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("mix_tokens").alias("tokens"))
     cells = cut(cells)
     weights = rake(cells, targets).select(*[F.col(m).alias(f"mix_{m}") for m in MARGINS], F.col("weight").alias("mix_weight"))
@@ -84,7 +98,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, DataFra
     p = F.least(F.lit(1.0), F.lit(float(fraction)) * F.col("mix_weight"))
     due = F.lit(float(fraction)) * F.col("mix_weight")
     copies = F.when(F.col("mix_tokens") > 0, F.floor(due) + (draw(id_column, seed) < due - F.floor(due)).cast("long")).otherwise(F.col("mix_sampled").cast("long"))
-    return joined.withColumn("mix_probability", p).withColumn("mix_sampled", draw(id_column, seed) < F.col("mix_probability")).withColumn("mix_copies", copies)
+    return joined.withColumn("mix_due", due).withColumn("mix_probability", p).withColumn("mix_sampled", draw(id_column, seed) < F.col("mix_probability")).withColumn("mix_copies", copies)
 
 
 def oracle(rounds: int = ROUNDS, fraction: float = FRACTION, seed: int = 7) -> str:
@@ -103,6 +117,6 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS
 cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL), {shares},
 w0 AS (SELECT c.*, (SELECT sum(tokens) FROM cells) AS total, s.share AS share_source, l.share AS share_lang, t.share AS share_topic, 1.0::DOUBLE AS weight
     FROM cells c JOIN s_source s USING (source) JOIN s_lang l USING (lang) JOIN s_topic t USING (topic)), {', '.join(steps)}
-SELECT doc_id, source, lang, topic, d.tokens AS n_tokens, round(weight, 6) AS weight, round(least(1.0, {fraction} * weight), 6) AS probability,
-    ('0x' || substr(md5('{seed}:' || doc_id), 1, 12))::BIGINT / {1 << 48}.0::DOUBLE < least(1.0, {fraction} * weight) AS sampled
-FROM d JOIN {last} USING (source, lang, topic)"""
+SELECT doc_id, source, lang, topic, d.tokens AS n_tokens, round(weight, 6) AS weight, round(least(1.0, {fraction} * weight), 6) AS probability, drawn < least(1.0, {fraction} * weight) AS sampled,
+    round({fraction} * weight, 6) AS due, CASE WHEN d.tokens > 0 THEN floor({fraction} * weight)::BIGINT + (drawn < {fraction} * weight - floor({fraction} * weight))::BIGINT ELSE (drawn < least(1.0, {fraction} * weight))::BIGINT END AS copies
+FROM (SELECT *, ('0x' || substr(md5('{seed}:' || doc_id), 1, 12))::BIGINT / {1 << 48}.0::DOUBLE AS drawn FROM d) d JOIN {last} USING (source, lang, topic)"""

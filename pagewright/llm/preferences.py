@@ -40,23 +40,39 @@ def loss_spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["spans"])
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, opening (hash), turns in order, said (the assistant's code points)."""
+def conversations(turns: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """One row per conversation: conv_id, opening (hash), turns in order, said: how good it is.
+
+    scores (conv_id, score), one row each, say so; a conversation without a score comes after all that have one. Without
+    scores the length of what the assistant says, in code points, stands for them."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     c = c.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     said = F.aggregate(F.filter("turns", lambda x: x["role"] == "assistant"), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    if scores is not None:
+        c = c.join(scores.select("conv_id", F.col("score").cast("double").alias("score")), "conv_id", "left")
+        said = F.coalesce("score", F.lit(float("-inf")))
     return c.select("conv_id", F.sha2(F.to_json(F.col("turns")[0]), 256).alias("opening"), "turns", said.alias("said"))
 
 
-def opening_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
+def opening_pairs(turns: DataFrame, span: int = RANGE, scores: DataFrame | None = None) -> DataFrame:
     """(x, y): chosen and rejected conversation, as structs of conv_id and turns.
 
-    Of two conversations in a row (by id) with the same opening turn, the one in which the assistant says more is
-    chosen, at equal length the one with the smaller id; no other measure of quality is taken. A conversation whose
-    opening no other shares makes no pair."""
-    c = conversations(turns).withColumn("range", F.floor(F.coalesce("conv_id", F.lit(-1)) / span))
-    me = F.struct("conv_id", "turns", "said")
+    Of two conversations in a row (by id) with the same opening turn, the better one is chosen (see conversations), of
+    equals the one with the smaller id. A conversation whose opening no other shares makes no pair. Ids, openings and
+    what is said go through the pairing; the turns of those who made a pair are joined at the end."""
+    whole = conversations(turns, scores)
+    pairs = opening_numbers(whole.select("conv_id", "opening", "said"), span)
+    of = lambda name: whole.select(F.col("conv_id").alias(name), F.struct("conv_id", "turns").alias(f"{name}_of"))
+    same = lambda name: F.col(f"p.{name}").eqNullSafe(F.col(f"o.{name}"))
+    found = pairs.alias("p").join(of("x").alias("o"), same("x")).select("p.x", "p.y", "o.x_of")
+    return found.alias("p").join(of("y").alias("o"), same("y")).select(F.col("p.x_of").alias("x"), F.col("o.y_of").alias("y"))
+
+
+def opening_numbers(c: DataFrame, span: int = RANGE) -> DataFrame:
+    """(x, y): ids of chosen and rejected conversation, of (conv_id, opening, said)."""
+    c = c.withColumn("range", F.floor(F.coalesce("conv_id", F.lit(-1)) / span))
+    me = F.struct("conv_id", "said")
     inside = Window.partitionBy("opening", "range").orderBy(F.col("conv_id").asc_nulls_first())
     rows = c.select("opening", "range", me.alias("b"), F.lag(me).over(inside).alias("a"))
     first = rows.where("a is null").select("opening", "range", "b")
@@ -65,7 +81,7 @@ def opening_pairs(turns: DataFrame, span: int = RANGE) -> DataFrame:
     pairs = rows.where("a is not null").select("a", "b").unionAll(first.join(chained, ["opening", "range"]).select("a", "b"))
     a, b = F.col("a"), F.col("b")
     better = a["said"] >= b["said"]
-    return pairs.select(F.when(better, a).otherwise(b).dropFields("said").alias("x"), F.when(better, b).otherwise(a).dropFields("said").alias("y"))
+    return pairs.select(F.when(better, a).otherwise(b)["conv_id"].alias("x"), F.when(better, b).otherwise(a)["conv_id"].alias("y"))
 
 
 def numbered(c: DataFrame) -> DataFrame:
@@ -110,10 +126,10 @@ def format_pairs(pairs: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def preference_pairs(turns: DataFrame, span: int = RANGE, gaps: bool = False) -> DataFrame:
+def preference_pairs(turns: DataFrame, span: int = RANGE, gaps: bool = False, scores: DataFrame | None = None) -> DataFrame:
     """The pairs of both ways, formatted; `kind` is opening or swap. With `gaps`, swaps reach over missing ids.
 
     Null roles and texts count as empty; a null conv_id is a conversation of its own and comes first; turns that repeat
     a number are ordered by role and text."""
-    both = opening_pairs(turns, span).withColumn("kind", F.lit("opening")).unionByName(swapped_pairs(turns, gaps).withColumn("kind", F.lit("swap")))
+    both = opening_pairs(turns, span, scores).withColumn("kind", F.lit("opening")).unionByName(swapped_pairs(turns, gaps).withColumn("kind", F.lit("swap")))
     return format_pairs(both, "kind")

@@ -48,7 +48,9 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagewright.llm.preferences import preference_pairs
 
-    return preference_pairs(table(spark, sf_dir, "conversations"), gaps=True)
+    pairs = preference_pairs(table(spark, sf_dir, "conversations"), gaps=True)
+    said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return pairs.withColumns({"chosen_loss": said("chosen_loss"), "rejected_loss": said("rejected_loss")})
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
     shown = {"mix_source": "source", "mix_lang": "lang", "mix_topic": "topic", "mix_tokens": "n_tokens"}
-    return m.select("doc_id", *[F.col(a).alias(b) for a, b in shown.items()], F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"))
+    return m.select("doc_id", *[F.col(a).alias(b) for a, b in shown.items()], F.round("mix_weight", 6).alias("weight"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled"), F.round("mix_due", 6).alias("due"), F.col("mix_copies").alias("copies"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ runs of different words, the words themselves decide: the earlier runs are the r
 automaton, and each later run is streamed through it; the matching statistics tell which of its windows it holds.
 Broadcasting each shard to all documents instead, as the plain form of the method has it, would read the corpus once
 for each shard. Anchors with so many different runs that one shard can't hold them are settled window by window.
+
+Anchors that a sample of the documents shows to be very common are dealt out in parts: equal runs are settled within
+each part, and of each part only the first of a kind meets the other parts'. The result is the same without the sample.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.automaton import SuffixAutomaton
-from pagewright.llm.common import bounded_batches, buffered, cut, grouped, partitions
+from pagewright.llm.common import bounded_batches, buffered, cut, grouped, partitions, spread_join
 
 WINDOW, GRAM = 20, 8
 #: Runs of one anchor that one automaton holds at most (about 26 words each).
 SHARD_RUNS = 2000
 CACHE_WORDS = 500_000
+#: Parts of a very common anchor, such anchors at most, and one in how many documents is looked at to find them.
+PARTS, COMMON_ANCHORS, SAMPLED = 64, 1000, 64
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so each has an inverse modulo 2 ** 64
 _NO_ID = -(1 << 63)
 
@@ -169,20 +174,37 @@ def _by_window(crowded: DataFrame) -> DataFrame:
     each = crowded.select("doc", "copy", "start", "words", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
     each = each.select("doc", "copy", (F.col("start") + F.col("k")).alias("start"), F.sha2(F.concat_ws(",", F.slice("words", F.col("k") + 1, WINDOW).cast("array<string>")), 256).alias("key"))
     first = each.groupBy("key").agg(F.min(F.struct("doc", "copy", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return each.join(first, "key").where(F.struct("doc", "copy", "start") != F.col("first")).select("doc", "copy", "start", F.lit(1).alias("windows"))
+    return spread_join(each, cut(first), ["key"]).where(F.struct("doc", "copy", "start") != F.col("first")).select("doc", "copy", "start", F.lit(1).alias("windows"))
+
+
+def common_anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, common): anchors that hold more than one in 2,000 of the runs of a sample of the documents, COMMON_ANCHORS at most."""
+    some = _runs_of(docs.where(F.pmod(F.xxhash64("doc", "copy"), F.lit(SAMPLED)) == 0)).where("not gone").groupBy("anchor").agg(F.count("*").alias("common"))
+    some = cut(some)
+    total = some.agg(F.coalesce(F.sum("common"), F.lit(0))).first()[0]
+    return cut(some.where(F.col("common") > max(total // 2000, 2)).orderBy(F.col("common").desc(), "anchor").limit(COMMON_ANCHORS))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, copy, start, windows): ranges of window starts whose words also start earlier. docs: doc, copy, text."""
     n = partitions(docs.sparkSession)
-    dealt = _runs_of(docs).repartition(n, "anchor")
-    same = Window.partitionBy("anchor", "content").orderBy("doc", "copy", "start")
-    of = Window.partitionBy("anchor")
+    common = common_anchors(docs)
+    part = F.when(F.col("common").isNotNull(), F.pmod(F.xxhash64("doc", "copy"), F.lit(PARTS))).otherwise(0).cast("int")
+    dealt = _runs_of(docs).join(F.broadcast(common), "anchor", "left").withColumn("part", part).repartition(n, "anchor", "part")
+    same = Window.partitionBy("anchor", "part", "content").orderBy("doc", "copy", "start")
+    of = Window.partitionBy("anchor", "part")
     ranked = dealt.withColumn("rank", F.row_number().over(same))
     ranked = ranked.withColumn("runs", F.sum((F.col("rank") == 1).cast("long")).over(of))
-    found = cut(ranked.where("gone or rank > 1 or runs > 1").select("anchor", "doc", "copy", "start", "windows", (F.col("gone") | (F.col("rank") > 1)).alias("whole"), "runs"))
-    repeats = found.where("whole").select("doc", "copy", "start", "windows")
-    words = cut(_words_at(docs, found.where("not whole").select("anchor", "runs", "doc", "copy", "start", "windows")))
+    row = ["anchor", "content", "doc", "copy", "start", "windows", "common", (F.col("gone") | (F.col("rank") > 1)).alias("whole"), "runs"]
+    found = cut(ranked.where("gone or rank > 1 or runs > 1 or common is not null").select(*row))
+    open_ = found.where("not whole")
+    # Of a common anchor each part has brought one run of a kind: PARTS of a kind at most are left.
+    kind = Window.partitionBy("anchor", "content").orderBy("doc", "copy", "start")
+    left = open_.where("common is not null").withColumn("rank", F.row_number().over(kind))
+    left = cut(left.withColumn("runs", F.sum((F.col("rank") == 1).cast("long")).over(Window.partitionBy("anchor"))))
+    repeats = found.where("whole").select("doc", "copy", "start", "windows").unionAll(left.where("rank > 1").select("doc", "copy", "start", "windows"))
+    single = open_.where("common is null").drop("whole").unionByName(left.where("rank = 1 and runs > 1").drop("whole", "rank"))
+    words = cut(_words_at(docs, single.select("anchor", "runs", "doc", "copy", "start", "windows")))
     return repeats.unionAll(_by_automaton(words.where(F.col("runs") <= SHARD_RUNS))).unionAll(_by_window(words.where(F.col("runs") > SHARD_RUNS)))
 
 
