@@ -200,8 +200,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     open_ = found.where("not whole")
     # Of a common anchor each part has brought one run of a kind: PARTS of a kind at most are left.
     kind = Window.partitionBy("anchor", "content").orderBy("doc", "copy", "start")
-    left = open_.where("common is not null").withColumn("rank", F.row_number().over(kind))
-    left = cut(left.withColumn("runs", F.sum((F.col("rank") == 1).cast("long")).over(Window.partitionBy("anchor"))))
+    left = cut(open_.where("common is not null").drop("runs").withColumn("rank", F.row_number().over(kind)))
+    kinds = left.where("rank = 1").groupBy("anchor").agg(F.count("*").alias("runs"))  # COMMON_ANCHORS rows at most
+    left = left.join(F.broadcast(kinds), "anchor")
     repeats = found.where("whole").select("doc", "copy", "start", "windows").unionAll(left.where("rank > 1").select("doc", "copy", "start", "windows"))
     single = open_.where("common is null").drop("whole").unionByName(left.where("rank = 1 and runs > 1").drop("whole", "rank"))
     words = cut(_words_at(docs, single.select("anchor", "runs", "doc", "copy", "start", "windows")))
