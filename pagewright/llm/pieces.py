@@ -113,7 +113,7 @@ class PieceCodec:
             self.cache.clear()
             self.lossy.clear()
         new = set().union(*split) - self.cache.keys()
-        parts = {w: self.words_in.findall(w) for w in new}
+        parts = {w: (w,) if "\n" not in w and w.rfind(BLANK) <= 0 else self.words_in.findall(w) for w in new}
         coded = self._encode_words(list({p for x in parts.values() for p in x}))
         kind = np.uint16 if self.n < 65536 else np.uint32
         self.cache.update((w, coded[w] if len(x) == 1 else b"".join(map(coded.__getitem__, x))) for w, x in parts.items())
