@@ -89,7 +89,9 @@ def remainder(id_column: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from the labelled rows whose crc32(id) mod 3 isn't 1. Rows without a label or id don't count; null texts are empty. No labels: no weights."""
+    """Weights from the labelled rows whose crc32(id) mod 3 isn't 1. Rows without a label or id don't count; null texts are empty. No labels: no weights.
+
+    Rows that repeat a labelled id count once, by the text that sorts first, and so do labels, by the smaller one."""
     usable = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull() & (remainder(id_column) != 1)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     n = usable.count()
     if not n:
@@ -97,7 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     order = F.xxhash64(F.lit("toxicity"), F.col("id"))
     if n > sample_rows:  # 2 ** 20 cells of hash values; the share kept makes the sample no larger than the bound, but for chance
         usable = usable.where(F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * 0.97 * sample_rows / n))
-    sample = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(usable), "id").select("text", "label", order.alias("at"))
+    sample = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(usable), "id")
+    # One row an id, whichever rows repeat it: the sample can't outgrow the number of ids.
+    sample = sample.groupBy("id").agg(F.min(F.struct("text", "label")).alias("r")).select("r.text", "r.label", order.alias("at"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "text", "label"])

@@ -198,6 +198,61 @@ def test_toxicity(spark, odd):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def plain_ftrl(rows, passes=4, alpha=2.0, beta=1.0, l1=10.0, bits=20):
+    """FTRL-proximal written out coordinate by coordinate, with its own features. rows: (text, label) in order. (weights by bucket, score of a text)"""
+    import math
+
+    import xxhash
+
+    def features(text):
+        h = [xxhash.xxh64_intdigest(w) for w in re.findall(rb"[a-z0-9\x80-\xff]+", text.encode().lower())]
+        cap = (1 << 64) - 1
+        m = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+        pairs = [((x * m[0] + y) & cap) * m[1] & cap for x, y in zip(h, h[1:])] + [((x * m[1] + y) & cap) * m[2] & cap for x, y in zip(h, h[2:])]
+        return {v >> (64 - bits) for v in h + pairs}
+
+    z, n, bias = {}, {}, 1 << bits
+
+    def weight(k):
+        zk, bound = z.get(k, 0.0), 0.0 if k == bias else l1
+        return 0.0 if abs(zk) <= bound else -(zk - math.copysign(bound, zk)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha)
+
+    known = [(features(t) | {bias}, y) for t, y in rows]
+    for _ in range(passes):
+        for at, y in known:
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for k in at:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[k]
+                n[k] = old + g * g
+    found = {k: weight(k) for k in z if weight(k)}
+    return found, lambda t: 1 / (1 + math.exp(-max(-35, min(35, sum(found.get(k, 0.0) for k in features(t) | {bias})))))
+
+
+def test_toxicity_against_plain_ftrl(spark):
+    rnd = random.Random(14)
+    docs = [(i, " ".join(rnd.choice(["ab", "cd", "ef", "gh", "IJ", "klé", "mn"]) for _ in range(rnd.randint(0, 20))) + (" vile" if i % 3 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    order = {r.doc_id: r.at for r in df.select("doc_id", F.xxhash64(F.lit("toxicity"), "doc_id").alias("at")).collect()}
+    train = sorted((order[i], t, int(i % 3 == 0)) for i, t in docs if zlib.crc32(str(i).encode()) % 3 != 1)
+    want, score = plain_ftrl([(t, y) for _, t, y in train])
+    at, w = toxicity.fit(df, labels)
+    assert dict(zip(at.tolist(), np.round(w, 9).tolist())) == {k: round(v, 9) for k, v in want.items()}
+    for r in toxicity.toxicity_scores(df, labels).collect():
+        assert abs(r.score - score(docs[r.doc_id][1])) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def test_repeated_rows_dont_outgrow_the_sample(spark):
+    """Rows that repeat a labelled id count once in training."""
+    df = spark.createDataFrame([(i % 4, f"text {i % 4} " + ("vile" if i % 2 else "fine")) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    once = toxicity.fit(df.distinct(), labels)
+    many = toxicity.fit(df, labels)
+    assert once[0].tolist() == many[0].tolist() and np.allclose(once[1], many[1])
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     y = spark.read.parquet(f"{sf}/labels.parquet")
@@ -463,6 +518,19 @@ def test_swaps_over_gaps(spark):
     assert all(f"a{want[r.chosen_id]}<" in r.rejected for r in p)
 
 
+def test_scores_decide(spark):
+    """A score chooses where there is one; the common prefix of two whole conversations has to be found."""
+    turns = [t for c, last in ((1, "a much longer answer"), (2, "short"), (3, "x")) for t in ((c, 0, "user", "hi"), (c, 1, "assistant", "hello"), (c, 2, "user", "so"), (c, 3, "assistant", last))]
+    df = spark.createDataFrame([(*t, "k", 1) for t in turns], "conv_id long, turn long, role string, text string, opening string, score int")
+    scores = spark.createDataFrame([(1, 0.1), (2, 0.9)], "conv_id long, score double")
+    got = {(r.chosen_id, r.rejected_id): r for r in preferences.preference_pairs(df, scores=scores).where("kind = 'opening'").collect()}
+    assert set(got) == {(2, 1), (2, 3)} and all(r.prompt_turns == 3 for r in got.values())
+    assert {(r.chosen_id, r.rejected_id) for r in preferences.preference_pairs(df).where("kind = 'opening'").collect()} == {(1, 2), (2, 3)}
+    long = spark.createDataFrame([(c, i, "assistant" if i % 2 else "user", f"turn {i} " * 2000 + ("z" if i == 59 and c == 2 else "")) for c in (1, 2) for i in range(60)], "conv_id long, turn long, role string, text string")
+    (r,) = preferences.preference_pairs(long).where("kind = 'opening'").collect()
+    assert (r.chosen_id, r.prompt_turns, len(r.prompt) > 900_000) == (2, 59, True)
+
+
 def test_every_conversation_with_company_is_paired(spark, small):
     rows = spark.read.parquet(f"{small}/conversations.parquet")
     shared = rows.withColumn("text", F.when(F.col("turn") == 0, "same").otherwise(F.col("text"))).withColumn("role", F.when(F.col("turn") == 0, "user").otherwise(F.col("role")))
@@ -505,6 +573,27 @@ def test_mixing_odd_rows(spark, odd):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_margins_of_the_table(spark):
+    """What is drawn on average has every target share of the whole table, to within a hundredth of it."""
+    sf = "/root/testdata/sf0.1"
+    r = queries.op7_mixing(spark, sf).toPandas()
+    for m in ("source", "lang", "topic"):
+        held = r.n_tokens.groupby(r[m]).sum() ** mixing.TEMPER
+        got = (r.n_tokens * r.due).groupby(r[m]).sum()
+        assert np.allclose(got / got.sum(), held / held.sum(), rtol=0.01)
+    drawn = (r.n_tokens * r.copies).sum() / r.n_tokens.sum()
+    assert abs(drawn - mixing.FRACTION) < 0.02
+
+
+def test_misses(spark):
+    """Margins that no weights can meet at once are reported."""
+    cells = spark.createDataFrame([("a", "x", "p", 10.0), ("b", "y", "p", 10.0)], "source string, lang string, topic string, tokens double")
+    share = lambda m, **v: spark.createDataFrame(list(v.items()), f"{m} string, share double")
+    targets = {"source": share("source", a=0.9, b=0.1), "lang": share("lang", x=0.5, y=0.5), "topic": share("topic", p=1.0)}
+    got = {(r.margin, r.value): abs(r.share - r.target) for r in mixing.misses(cells, targets).collect()}
+    assert got["lang", "x"] < 1e-9 and got["source", "a"] > 0.3
+
+
 def test_copies_meet_targets(spark, small):
     """A source that needs more than all its rows is repeated: the copies have the target shares and the fraction."""
     docs = spark.range(4000).selectExpr("cast(id as string) as doc_id", "'a b c d e f g h i j' as text", "if(id % 10 = 0, 'rare', 'common') as source", "'en' as lang")
@@ -578,6 +667,20 @@ def test_repeats(spark, monkeypatch):
         assert got == want
 
 
+def test_common_anchors(spark, monkeypatch):
+    """A passage that most documents share is settled in parts, with the same result."""
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    r = random.Random(8)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    passage = [word() for _ in range(70)]
+    texts = [" ".join([word() for _ in range(r.randint(0, 9))] + (passage[: r.choice((70, 45, 25))] if i % 4 else []) + [word() for _ in range(5)]) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    docs = df.select(F.col("doc_id").alias("doc"), F.lit(0).alias("copy"), "text")
+    assert not substrings.common_anchors(docs).isEmpty()
+    got = [(x.n_words, x.n_removed, x.kept_text) for x in substrings.drop_repeats(df).orderBy("doc_id").collect()]
+    assert got == brute_repeats(list(enumerate(texts)))
+
+
 def test_repeats_of_odd_rows(spark, odd):
     got = substrings.drop_repeats(odd).collect()
     assert len(got) == len(ODD)
@@ -605,7 +708,7 @@ def test_sql(name, spark, small):
     for f in glob.glob(f"{small}/*.parquet"):
         c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     a, b = queries.queries()[name](spark, small).toPandas(), c.sql(queries.oracle_sql()[name]).df()
-    by = [k for k in ("doc_id", "query_id", "rank", "vec_id") if k in a.columns]
+    by = [k for k in ("doc_id", "query_id", "rank", "vec_id", "kind", "chosen_id", "rejected_id") if k in a.columns]
     a, b = (x[sorted(x.columns)].sort_values(by).reset_index(drop=True) for x in (a, b))
     assert list(a.columns) == list(b.columns) and len(a) == len(b) and (a == b).all().all()
 
@@ -634,3 +737,97 @@ def test_pipeline_stages(spark, small):
         docs = out
     assert out.where("not round_trip").isEmpty()
     assert p.run(spark, small).count() == out.count()
+
+
+def plain_components(fps, most=4):
+    """Root (a number below) of each distinct fingerprint."""
+    x = np.array(sorted(fps), dtype=np.uint64)
+    return dict(zip(x.tolist(), brute_groups(len(x), np.bitwise_count(x[:, None] ^ x[None, :]) <= most)))
+
+
+def plain_pipeline(docs, labels, order):
+    """The stages one after another in plain Python, on rows (doc_id, text, lang, source, n_chars). Yields what each keeps."""
+    from collections import Counter
+
+    known = {r[0]: r[1] for r in docs}
+    train = sorted((order[i], known[i], y) for i, y in labels.items() if i in known and zlib.crc32(str(i).encode()) % 3 != 1)
+    _, score = plain_ftrl([(t, y) for _, t, y in train])
+    docs = [r for r in docs if score(r[1]) < 0.7]
+    yield docs
+    fp = {r: simhash.fingerprint(r[1]) for r in docs}
+    root = plain_components(set(fp.values()))
+    first = {}
+    for r in sorted(docs):
+        first.setdefault(root[fp[r]], r)
+    docs = sorted(first.values())
+    yield docs
+    out = []
+    for i, text, lang, source, _ in docs:
+        keep, at = "", 0
+        for _, a, e in brute_secrets(text):
+            keep += (text[at:a] + "[SECRET]") if a > at or not (keep or at) else ""
+            at = max(at, e)
+        out.append((i, keep + text[at:], lang, source, len(keep + text[at:])))
+    docs = out
+    yield docs
+
+    def cell(r):
+        t = r[1]
+        return (r[3], r[2], "table" if " | " in t else "symbols" if "***" in t or "%%%" in t else "license" if "license" in t.lower() else "prose")
+
+    tokens = Counter()
+    for r in docs:
+        tokens[cell(r)] += len(r[1].split())
+    total, weight = sum(tokens.values()), {c: 1.0 for c in tokens}
+    share = []
+    for m in range(3):
+        sums = Counter()
+        for c, t in tokens.items():
+            sums[c[m]] += t
+        every = sum(v**0.5 for v in sums.values())
+        share.append({k: v**0.5 / every for k, v in sums.items()})
+    for _ in range(mixing.ROUNDS):
+        for m in range(3):
+            held = Counter()
+            for c, t in tokens.items():
+                held[c[m]] += t * weight[c]
+            for c in weight:
+                if held[c[m]] > 0:
+                    weight[c] *= share[m][c[m]] * total / held[c[m]]
+    out = []
+    for r in docs:
+        due, u = 0.5 * weight[cell(r)], int(hashlib.md5(f"7:{r[0]}".encode()).hexdigest()[:12], 16) / (1 << 48)
+        out += [r] * (int(due) + (u < due - int(due)) if r[1].split() else int(u < min(1.0, due)))
+    yield out
+
+
+def test_pipeline_against_plain_python(spark, small):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.toxic is not None}
+    order = {r.doc_id: r.at for r in docs.select("doc_id", F.xxhash64(F.lit("toxicity"), "doc_id").alias("at")).collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=SP)
+    rows = [tuple(r) for r in docs.collect()]
+    for (name, stage), want in zip(p.STAGES, plain_pipeline(rows, labels, order)):
+        docs = stage(spark, docs, small).cache()
+        assert sorted(tuple(r) for r in docs.collect()) == sorted(want), name
+    coded = p.encoding(spark, docs, small).collect()
+    assert sorted(r.doc_id for r in coded) == sorted(r[0] for r in want) and all(list(r.piece_ids) == lib.encode(r.text) for r in coded)
+
+
+def test_stages_take_odd_rows(spark, small):
+    """Nulls in any column, empty and long texts, repeated rows, empty tables, and further columns with clashing names."""
+    import corpus_pipeline as p
+
+    rows = [(1, "one two three four five six seven", None, None, 3), (1, "one two three four five six seven", None, None, 3), (2, "one two three four five six seven", "en", "s", 1), (None, "one two three four five six seven", "en", "s", 1),
+            (None, None, None, None, None), (3, "", "en", "s", 0), (4, "word " * 50_000, "en", "s", 9), (None, "quite another text than all of the others here", "fr", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("score", "fp", "_k1", "row", "mix_tokens", "piece_ids", "component_id")})
+    kept = sorted((r.doc_id or -1, (r.text or "")[:9]) for r in p.near_copies(spark, docs, small).collect())
+    assert kept == [(-1, "quite ano"), (1, "one two t"), (3, ""), (4, "word word")]
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0, name
+        out = stage(spark, docs, small)
+        if name != "encoding":
+            assert out.columns == list(p.COLUMNS)
+        assert name in ("near_copies", "mixing") or out.count() == len(rows), name
