@@ -13,6 +13,10 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.iinfo(np.int64).max
+#: What is left of a piece's hash when its leading 18 bits are taken.
+LEAD = np.uint64(46)
+#: Prefixes whose fitting pieces are looked up at a time, over all rows: bounds what is held, however long the words are.
+BLOCK = 1 << 18
 
 
 def word_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +57,8 @@ class Pieces:
         for n in np.unique(lengths[usable]):
             at = np.flatnonzero((lengths == n) & usable)
             at = at[np.argsort(hashes[at])]
-            leads = np.zeros(1 << 16, dtype=bool)
-            leads[hashes[at] >> np.uint64(48)] = True
+            leads = np.zeros(1 << 18, dtype=bool)
+            leads[hashes[at] >> LEAD] = True
             self.by_length[int(n)] = (hashes[at], at, leads)
 
     @staticmethod
@@ -100,37 +104,53 @@ class Pieces:
         unknown: ids to give to single symbols that no piece stands for (n and more), None if there are none such."""
         rows, n = codes.shape
         h, power = word_hashes(codes)
-        last = np.full((rows, n + 1), -1, dtype=np.int64)
-        count = np.zeros((rows, n + 1), dtype=np.int32)
-        with np.errstate(over="ignore"):
-            for i in range(1, n + 1):
-                todo = np.arange(rows)  # each prefix has one last piece, so a found row is done
-                for k in range(min(i, self.longest), 0, -1):
-                    if k not in self.by_length or not len(todo):
-                        continue
-                    hashes, ids, leads = self.by_length[k]
-                    probe = h[todo, i] - h[todo, i - k] * power[k]
-                    hit = np.flatnonzero(leads[probe >> np.uint64(48)])
-                    probe = probe[hit]
-                    at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                    found = hashes[at] == probe
-                    if not found.any():
+        h = np.ascontiguousarray(h.T)  # position by position, as the words advance
+        last = np.full((n + 1, rows), -1, dtype=np.int64)
+        count = np.zeros((n + 1, rows), dtype=np.int32)
+        block = max(1, BLOCK // max(rows, 1))
+        for start in range(1, n + 1, block):
+            stop = min(start + block, n + 1)
+            fits = self._fitting(h, power, start, stop)
+            for i in range(start, stop):
+                here, so_far = last[i], count[i]
+                for k, bounds, at, pieces in fits:  # longest first; each prefix has one last piece, so a found row is done
+                    a, b = bounds[i - start], bounds[i - start + 1]
+                    if a == b:
                         continue
-                    hit, at = hit[found], at[found]
-                    rows_hit, piece = todo[hit], ids[at]
+                    todo = here[at[a:b]] < 0
+                    row, piece = at[a:b][todo], pieces[a:b][todo]
                     if i > k:
-                        before = last[rows_hit, i - k]
+                        before = last[i - k][row]
                         good = before >= 0
                         good[good] = self.stable(before[good], piece[good])
-                        hit, rows_hit, piece = hit[good], rows_hit[good], piece[good]
-                    last[rows_hit, i] = piece
-                    count[rows_hit, i] = count[rows_hit, i - k] + 1
-                    todo = np.delete(todo, hit)
-                if unknown is not None and len(todo):
-                    miss = todo[unknown[todo, i - 1] >= 0]
-                    last[miss, i] = unknown[miss, i - 1]
-                    count[miss, i] = count[miss, i - 1] + 1
-        return last, count
+                        row, piece = row[good], piece[good]
+                    here[row] = piece
+                    so_far[row] = count[i - k][row] + 1
+                if unknown is not None:
+                    miss = np.flatnonzero((here < 0) & (unknown[:, i - 1] >= 0))
+                    here[miss] = unknown[miss, i - 1]
+                    so_far[miss] = count[i - 1][miss] + 1
+        return last.T, count.T
+
+    def _fitting(self, h: np.ndarray, power: np.ndarray, start: int, stop: int) -> list[tuple[int, list[int], np.ndarray, np.ndarray]]:
+        """Which pieces end where, at positions from start to stop: for each length, the longest first, (length, where each position's begin, rows, pieces)."""
+        out = []
+        for k in sorted(self.by_length, reverse=True):
+            first = max(start, k)
+            if first >= stop:
+                continue
+            hashes, ids, leads = self.by_length[k]
+            with np.errstate(over="ignore"):
+                probe = (h[first:stop] - h[first - k : stop - k] * power[k]).ravel()
+            hit = np.flatnonzero(leads[probe >> LEAD])
+            probe = probe[hit]
+            at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
+            found = hashes[at] == probe
+            if found.any():
+                place, row = np.divmod(hit[found], h.shape[1])
+                bounds = np.searchsorted(place + first, np.arange(start, stop + 1)).tolist()
+                out.append((k, bounds, row, ids[at[found]]))
+        return out
 
     def walk(self, last: np.ndarray, row: int) -> list[int]:
         """The pieces of one word, by its backpointers."""

@@ -93,14 +93,16 @@ class PieceCodec:
             live = live[to[live] > 0]
         plain = (ids < self.n).all(axis=1)
         small = ids.astype(np.uint16) if self.n < 65536 else ids.astype(np.uint32)
+        flat = small[np.arange(small.shape[1]) < count[:, None]].tobytes()
+        ends = (np.cumsum(count, dtype=np.int64) * small.itemsize).tolist()
         for r in range(rows):
             if plain[r]:
-                yield small[r, : count[r]].tobytes()
+                yield flat[ends[r - 1] if r else 0 : ends[r]]
             else:
-                flat: list[int] = []
+                spelt: list[int] = []
                 for p in ids[r, : count[r]].tolist():
-                    flat.extend([p] if p < self.n else self.byte_ids[list(chr(p - self.n).encode("utf-8", "surrogatepass"))].tolist())
-                yield np.array(flat, dtype=small.dtype).tobytes()
+                    spelt.extend([p] if p < self.n else self.byte_ids[list(chr(p - self.n).encode("utf-8", "surrogatepass"))].tolist())
+                yield np.array(spelt, dtype=small.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each whole text, as the model's library gives them without begin and end."""
@@ -113,15 +115,24 @@ class PieceCodec:
             self.cache.clear()
             self.lossy.clear()
         new = set().union(*split) - self.cache.keys()
-        parts = {w: (w,) if "\n" not in w and w.rfind(BLANK) <= 0 else self.words_in.findall(w) for w in new}
-        coded = self._encode_words(list({p for x in parts.values() for p in x}))
         kind = np.uint16 if self.n < 65536 else np.uint32
-        self.cache.update((w, coded[w] if len(x) == 1 else b"".join(map(coded.__getitem__, x))) for w, x in parts.items())
-        known, spoken = self.cache, self.bytes_of
-        self.lossy.update(w for w in new if b"".join(map(spoken.__getitem__, np.frombuffer(known[w], dtype=kind).tolist())) != w.replace(BLANK, " ").encode("utf-8", "surrogatepass"))
+        parts = {w: self.words_in.findall(w) for w in new if "\n" in w or w.rfind(BLANK) > 0}
+        known = self.cache
+        coded = self._encode_words(list((new - parts.keys()).union(*parts.values())))
+        known.update(coded)
+        known.update((w, b"".join(map(coded.__getitem__, x))) for w, x in parts.items())
+        self.lossy.update(self._lossy([*coded, *parts], kind))
         ids = [np.frombuffer(b"".join(map(known.__getitem__, s)), dtype=kind).astype(np.int32) for s in split]
         return ids, [BLANK not in t and (not self.lossy or self.lossy.isdisjoint(s)) for s, t in zip(split, texts)]
 
+    def _lossy(self, words: list[str], kind: type) -> Iterator[str]:
+        """Words in the cache that decoding doesn't give back. They are decoded in one go, with a byte between them that UTF-8 never has."""
+        between, said = np.array([self.n], dtype=kind).tobytes(), [*self.bytes_of, b"\xff"]
+        back = b"".join(map(said.__getitem__, np.frombuffer(between.join(map(self.cache.__getitem__, words)), dtype=kind).tolist()))
+        asked = b"\xff".join([w.encode("utf-8", "surrogatepass") for w in words]).replace(BLANK.encode(), b" ")
+        if back != asked:
+            yield from (w for w, a, b in zip(words, asked.split(b"\xff"), back.split(b"\xff")) if a != b)
+
     def decode(self, ids) -> str:
         """The text of ids; the blank that encoding put in front goes. Bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -101,6 +101,17 @@ def test_pieces(spark, small, odd):
     assert [x.tolist() for x in pieces.codec(SP).encode(some)] == [lib.encode(t) for t in some]
 
 
+def test_long_words_block_by_block(monkeypatch):
+    """Words that are looked up in many blocks, and words that decoding doesn't give back, among others: as the library has them."""
+    monkeypatch.setattr(bpe_dp, "BLOCK", 64)
+    c, sp = pieces.PieceCodec(SP), sentencepiece.SentencePieceProcessor(model_file=SP)
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("the inator") for _ in range(900)).replace(" ", ""), "a" * 700, "日本語" * 90, "x▁y plain words", "one\ntwo\n\nthree \n", "", "again plain words \x00\xff"]
+    ids, same = c.encode_checked(texts)
+    assert [x.tolist() for x in ids] == [sp.encode(t) for t in texts]
+    assert same == ["▁" not in t for t in texts] == [c.decode(x) == t for x, t in zip(ids, texts)]
+
+
 def test_prefix_dp_equals_merging():
     rnd = random.Random(3)
     for _ in range(20):
@@ -418,6 +429,16 @@ def test_recall_with_small_leaves(spark, monkeypatch):
     assert recall_of(spark, x).mean() < 0.8
 
 
+def test_recall_of_unequal_lengths(spark, monkeypatch):
+    """Inner products favour long vectors, which are then in very many lists: they are found all the same."""
+    for name, value in (("LEAF", 64), ("BUCKET", 256)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1500, 24))
+    x *= (np.exp(0.5 * rng.standard_normal(1500)) / np.linalg.norm(x, axis=1))[:, None]
+    assert recall_of(spark, x.astype(np.float32)).mean() >= 0.95
+
+
 def test_crowded_leaves_are_halved(spark, monkeypatch):
     """No leaf holds more than LEAF nodes, however close most vectors are, and recall holds among them and beside them."""
     monkeypatch.setattr(neighbours, "LEAF", 64)
