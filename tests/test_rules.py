@@ -227,6 +227,19 @@ def test_answers(spark):
     assert q == [pytest.approx(x) for x in (1.0, 0.20, 0.40, 0.45)]
 
 
+def test_answer_lines_count_once(spark):
+    many = "\n".join(f"Line {i % 3000}" if i % 2 else f"LINE {i % 3000}" for i in range(9000))
+    want = "\n".join(f"Line {i}" if i % 2 else f"LINE {i}" for i in range(3000))
+    assert values(spark, ["b\nA\nB\na\nc\n\nC\nb", "x\ny", many], answers.extract) == ["b\nA\nc", "x\ny", want]
+
+
+def test_answers_are_extracted_once(spark):
+    """However often the rules use a text, the plan has its extraction once; else plan and time grow with a power of the number of uses."""
+    df = spark.createDataFrame([("a", "b")], "t string, q string").select(answers.quality(F.col("t"), F.col("q")).alias("quality"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?is)</?confidence>") == 1
+
+
 def test_answer_choice(spark):
     df = spark.createDataFrame([("q", "rated payload?", "x", "", "", 0.0, "The rated payload is 3 kg, as the table on this page says in so many words")], "query_id string, question string, single string, stitched string, per_page string, per_page_blend double, joint string")
     r = answers.select_answer(df).first()
