@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -14,6 +16,7 @@ from tokenizers import Tokenizer
 
 from pagewright.llm import bpe_dp, mixing, neighbours, pieces, preferences, queries, secrets, simhash, substrings, token_counts, toxicity, vector_dedup
 from pagewright.llm.automaton import SuffixAutomaton
+from pagewright.llm.common import buffered
 from pagewright.llm.components import components, forest
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -85,6 +88,18 @@ def test_prefix_counts_of_tables(spark, small, odd):
     assert took[1] < 40 * took[0] + 1
 
 
+def test_pieces_memory():
+    """What a worker holds at most over 3 million characters of new words: an executor has a worker for each core beside its heap."""
+    rng, c = random.Random(5), pieces.PieceCodec(SP)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(111)) for _ in range(3000)]
+    tracemalloc.start()
+    for b in buffered((pd.DataFrame({"text": texts[i : i + 100]}) for i in range(0, len(texts), 100)), chars=getattr(pieces, "BUFFER_CHARS", 4_000_000)):
+        c.encode_checked(b["text"].tolist())
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 150, peak
+
+
 def test_pieces(spark, small, odd):
     lib = sentencepiece.SentencePieceProcessor(model_file=SP)
     texts = dict(documents(spark, small))
